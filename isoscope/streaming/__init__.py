@@ -1,0 +1,4 @@
+"""Deliberately empty: no operator of the inventory is streaming-only.
+
+Ingest is a batch over landed files; see the README.
+"""
