@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _tokens(cell: Column) -> Column:
-    return F.transform(F.split(cell, ","), F.trim)
+    return F.transform(F.split(cell, ","), lambda t: F.trim(t))
 
 
 def count_list(cell: Column) -> Column:

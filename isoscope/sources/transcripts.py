@@ -17,7 +17,7 @@ def unversioned(identifier: Column) -> Column:
 def _attributes(text: Column) -> Column:
     """map of `key=value` pairs; parts without `=` are ignored, the last key wins."""
     pairs = F.filter(
-        F.transform(F.split(text, ";"), F.trim), lambda p: F.instr(p, "=") > 0
+        F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: F.instr(p, "=") > 0
     )
     entries = F.transform(
         pairs,
@@ -70,7 +70,7 @@ def transcript_lines(features: DataFrame) -> DataFrame:
     gene = F.when(_attr("gene_id").startswith("ENSG"), _attr("gene_id")).otherwise(
         F.when(_attr("Parent").startswith("ENSG"), _attr("Parent")).otherwise(
             F.coalesce(F.try_element_at("attrs", F.lit("gene_id")), _attr("ID"))))
-    tags = F.transform(F.split(F.regexp_replace(_attr("tag"), "%2C", ","), ","), F.trim)
+    tags = F.transform(F.split(F.regexp_replace(_attr("tag"), "%2C", ","), ","), lambda t: F.trim(t))
     found = (
         features.where(F.col("feature").isin("mRNA", "transcript"))
         .select(
