@@ -23,12 +23,7 @@ def is_plus(strand: Column) -> Column:
     return F.coalesce(strand, F.lit("+")) == "+"
 
 
-def _interval(start: Column, end: Column) -> Column:
-    """struct(start, end), or null when either end is unknown."""
-    return F.when(
-        start.isNotNull() & end.isNotNull(),
-        F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end")),
-    )
+Interval = tuple[Column, Column]
 
 
 def exon_size() -> Column:
@@ -44,15 +39,17 @@ def intron_sizes() -> tuple[Column, Column]:
     return F.when(plus, low).otherwise(high), F.when(plus, high).otherwise(low)
 
 
-def splice_windows(start: Column, end: Column) -> dict[str, Column]:
-    """The five signal windows of an exon [start, end), as genomic intervals."""
+def splice_windows(start: Column, end: Column) -> dict[str, Interval]:
+    """The five signal windows of an exon [start, end) as genomic (start, end); a
+    window at an unknown flank has null ends."""
     plus = is_plus(F.col("strand"))
     low_flank, high_flank = F.col("upstream_ee"), F.col("downstream_es")
 
-    def pick(on_plus: tuple, on_minus: tuple) -> Column:
+    def pick(on_plus: tuple, on_minus: tuple) -> Interval:
         (p, p_lo, p_hi), (m, m_lo, m_hi) = on_plus, on_minus
-        return F.when(plus, _interval(p + p_lo, p + p_hi)).otherwise(
-            _interval(m + m_lo, m + m_hi)
+        return (
+            F.when(plus, p + p_lo).otherwise(m + m_lo),
+            F.when(plus, p + p_hi).otherwise(m + m_hi),
         )
 
     return {
@@ -64,48 +61,47 @@ def splice_windows(start: Column, end: Column) -> dict[str, Column]:
     }
 
 
-def _non_empty(start: Column, end: Column) -> Column:
-    return F.when(end > start, _interval(start, end))
-
-
-def scan_regions() -> dict[str, Column]:
-    """The seven motif-scan regions in transcript order; null when unavailable."""
+def scan_regions() -> dict[str, Interval]:
+    """The seven motif-scan regions in transcript order.  A region without its
+    coordinates has a null end, one consumed by the exclusions has end <= start."""
     plus = is_plus(F.col("strand"))
     start, end = F.col("exon_start"), F.col("exon_end")
     up_es, up_ee = F.col("upstream_es"), F.col("upstream_ee")
     dn_es, dn_ee = F.col("downstream_es"), F.col("downstream_ee")
 
-    # flanking exons: at most FLANK_NT next to the intron
-    low_exon = _non_empty(up_ee - F.least(up_ee - up_es, F.lit(FLANK_NT)), up_ee)
-    high_exon = _non_empty(dn_es, dn_es + F.least(dn_ee - dn_es, F.lit(FLANK_NT)))
-
-    def intron_sides(lo: Column, hi: Column, donor_low: bool) -> tuple[Column, Column]:
-        """(low window, high window) of the intron body on one strand."""
-        cut_lo = DONOR_EXCLUDED_NT if donor_low else ACCEPTOR_EXCLUDED_NT
-        cut_hi = ACCEPTOR_EXCLUDED_NT if donor_low else DONOR_EXCLUDED_NT
-        body_lo, body_hi = lo + cut_lo, hi - cut_hi
-        low = _non_empty(body_lo, F.least(body_lo + FLANK_NT, body_hi))
-        high = _non_empty(F.greatest(body_hi - FLANK_NT, body_lo), body_hi)
+    # flanking exons: at most FLANK_NT next to the intron (`least` would skip a null)
+    low_nt = F.when(up_ee - up_es > FLANK_NT, FLANK_NT).otherwise(up_ee - up_es)
+    high_nt = F.when(dn_ee - dn_es > FLANK_NT, FLANK_NT).otherwise(dn_ee - dn_es)
+    low_exon, high_exon = (up_ee - low_nt, up_ee), (dn_es, dn_es + high_nt)
+
+    # the donor end of an intron loses fewer bases than its acceptor end
+    at_low = F.when(plus, DONOR_EXCLUDED_NT).otherwise(ACCEPTOR_EXCLUDED_NT)
+    at_high = F.when(plus, ACCEPTOR_EXCLUDED_NT).otherwise(DONOR_EXCLUDED_NT)
+
+    def intron_sides(lo: Column, hi: Column) -> tuple[Interval, Interval]:
+        """(low-side window, high-side window) of the intron body."""
+        body_lo, body_hi = lo + at_low, hi - at_high
+        wide = body_hi - body_lo > FLANK_NT
+        low = body_lo, F.when(wide, body_lo + FLANK_NT).otherwise(body_hi)
+        high = F.when(wide, body_hi - FLANK_NT).otherwise(body_lo), body_hi
         return low, high
 
-    a_plus, a_minus = intron_sides(up_ee, start, True), intron_sides(up_ee, start, False)
-    b_plus, b_minus = intron_sides(end, dn_es, True), intron_sides(end, dn_es, False)
-
-    on_plus = [low_exon, *a_plus, None, *b_plus, high_exon]
-    # mirrored: transcript order runs from high to low coordinates
-    on_minus = [high_exon, *reversed(b_minus), None, *reversed(a_minus), low_exon]
-    located = F.col("chr").isNotNull() & start.isNotNull() & end.isNotNull()
-    out = {}
-    for name, p, m in zip(REGIONS, on_plus, on_minus, strict=True):
-        interval = _non_empty(start, end) if p is None else F.when(plus, p).otherwise(m)
-        out[name] = F.when(located, interval)
-    return out
-
-
-def as_long(intervals: dict[str, Column]) -> Column:
-    """array<struct<slot, start, end>> of the known intervals, to be inlined."""
-    rows = [
-        F.struct(F.lit(name).alias("slot"), iv["start"].alias("start"), iv["end"].alias("end"))
-        for name, iv in intervals.items()
-    ]
-    return F.filter(F.array(*rows), lambda r: r["start"].isNotNull())
+    intron_a, intron_b = intron_sides(up_ee, start), intron_sides(end, dn_es)
+    ascending = [low_exon, *intron_a, (start, end), *intron_b, high_exon]
+    # on the minus strand transcript order runs from high to low coordinates
+    return {
+        name: tuple(F.when(plus, p).otherwise(m) for p, m in zip(up, down, strict=True))
+        for name, up, down in zip(REGIONS, ascending, reversed(ascending), strict=True)
+    }
+
+
+def as_long(intervals: dict[str, Interval]) -> Column:
+    """array<struct<slot, start, end>>, to be inlined and then filtered by `KNOWN`."""
+    return F.array(*[
+        F.struct(F.lit(name).alias("slot"), start.cast("bigint").alias("start"),
+                 end.cast("bigint").alias("end"))
+        for name, (start, end) in intervals.items()
+    ])
+
+
+KNOWN = "end > start"

@@ -8,17 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-NUMERIC_FLOOR = 1e-300
-
-
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|).  Spark SQL has no erf, so this runs on result rows."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(-v / math.sqrt(2.0)))
 
@@ -64,7 +62,7 @@ def t_two_sided_value(t: float, df: float) -> float | None:
     return None if p is None else min(1.0, p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|) with df degrees of freedom."""
     return pd.Series(
@@ -76,7 +74,7 @@ def student_t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hypergeometric_tail(
     total: pd.Series, marked: pd.Series, drawn: pd.Series, hits: pd.Series
 ) -> pd.Series:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isoscope.functions import sequence as sq
 from isoscope.functions.coordinates import (
+    KNOWN,
     WINDOWS,
     as_long,
     exon_size,
@@ -177,7 +178,7 @@ def splice_window_sequences(events: DataFrame, genome: Genome) -> DataFrame:
     )
     regions = placed.select(
         "event_id", "chr", "strand", F.inline(as_long(splice_windows(start, end)))
-    )
+    ).where(KNOWN)
     named = resolved_contig(regions, contigs(genome.table))
     found = short_regions(named, genome)
     oriented = found.select(

@@ -14,7 +14,7 @@ from isoscope.functions.catalogue import (
     motif_width,
     regulatory_effects,
 )
-from isoscope.functions.coordinates import as_long, is_plus, scan_regions
+from isoscope.functions.coordinates import KNOWN, as_long, is_plus, scan_regions
 from isoscope.functions.labels import min_q
 from isoscope.functions.sequence import oriented, overlapping_count
 from isoscope.operators.hypothesis import benjamini_hochberg, mann_whitney, with_proportion_test
@@ -25,10 +25,13 @@ from isoscope.sources.genome import Genome, contigs, region_sequences, resolved_
 def region_table(events: DataFrame) -> DataFrame:
     """Long (event_id, chr, strand, region, start, end) of the available regions;
     caller coordinates, never the corrected ones."""
-    return events.where(F.col("event_type") == "SE").select(
+    placed = events.where(F.col("event_type") == "SE").where(
+        "chr IS NOT NULL AND exon_start IS NOT NULL AND exon_end IS NOT NULL")
+    regions = placed.select(
         "event_id", "chr", F.coalesce("strand", F.lit("+")).alias("strand"),
         F.inline(as_long(scan_regions())),
-    ).withColumnRenamed("slot", "region")
+    )
+    return regions.where(KNOWN).withColumnRenamed("slot", "region")
 
 
 def region_text(events: DataFrame, genome: Genome) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +32,6 @@ def clamped_iterations(n: int) -> int:
     return max(lo, min(n, hi))
 
 
-@lru_cache(maxsize=64)
 def _splits(n: int, n1: int) -> np.ndarray:
     """0/1 matrix of every way to pick n1 of n; the first row is the observed one."""
     picks = np.array(list(combinations(range(n), n1)))
@@ -55,7 +54,7 @@ def _noise(seed: int, keys: np.ndarray, iterations: int, n: int) -> np.ndarray:
 
 
 def _batch_nulls(pool: np.ndarray, n1: int, keys: np.ndarray, iterations: int, seed: int,
-                 max_splits: int) -> tuple[np.ndarray, np.ndarray, bool]:
+                 max_splits: int, known: dict) -> tuple[np.ndarray, np.ndarray, bool]:
     """(null, observed, exact) as integers n1*n2*scale times the mean difference."""
     n = pool.shape[1]
     n2 = n - n1
@@ -63,7 +62,9 @@ def _batch_nulls(pool: np.ndarray, n1: int, keys: np.ndarray, iterations: int, s
     diff = lambda s1: n2 * s1 - n1 * (total[:, None] - s1)
     observed = diff(pool[:, :n1].sum(axis=1)[:, None])[:, 0]
     if math.comb(n, n1) <= max_splits:
-        return diff(pool @ _splits(n, n1).T), observed, True
+        if (n, n1) not in known:
+            known[n, n1] = _splits(n, n1).T
+        return diff(pool @ known[n, n1]), observed, True
     order = np.argsort(_noise(seed, keys, iterations, n), axis=2)[:, :, :n1]
     first = np.take_along_axis(pool[:, None, :], order, axis=2).sum(axis=2)
     return diff(first), observed, False
@@ -78,6 +79,7 @@ def _histograms(null: np.ndarray, unit: int, bins: int) -> np.ndarray:
 
 def _event_tests(iterations: int, seed: int, max_splits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}  # split matrices by design
         for batch in batches:
             sizes = batch[["n1", "n2"]].apply(tuple, axis=1)
             for (n1, n2), rows in batch.groupby(sizes, sort=False):
@@ -91,7 +93,7 @@ def _event_tests(iterations: int, seed: int, max_splits: int):
                     pool = np.array(part["pool"].tolist(), dtype=np.int64)
                     null, seen, exact = _batch_nulls(
                         pool, n1, part["key"].to_numpy().astype(np.uint64), iterations, seed,
-                        max_splits)
+                        max_splits, known)
                     hits = (np.abs(null) >= np.abs(seen)[:, None]).sum(axis=1)
                     p = hits / null.shape[1] if exact else (hits + 1) / (null.shape[1] + 1)
                     hist = _histograms(null, n1 * n2 * PSI_SCALE, NULL_BINS)

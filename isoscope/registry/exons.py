@@ -183,7 +183,8 @@ def e1(spark, sf):
 def e2(spark, sf):
     ev = ft.annotated(fx.skipped(spark, sf), fx.models(spark, sf))
     start, end = F.coalesce("model_start", "exon_start"), F.coalesce("model_end", "exon_end")
-    return ev.select("event_id", F.inline(co.as_long(co.splice_windows(start, end))))
+    return ev.select("event_id", F.inline(co.as_long(co.splice_windows(start, end)))
+    ).where(co.KNOWN)
 
 
 @query("e3_window_sequences", "SELECT event_id, donor_seq, acceptor_seq, ppt_seq, upstream_donor_seq, downstream_acceptor_seq FROM texts")
