@@ -50,21 +50,21 @@ def best_overlap() -> Column:
     return F.when(best["overlap"] > 0, best)
 
 
-def exon_rank() -> Column:
+def exon_rank(best: Column | None = None) -> Column:
     """Rank of the best-overlapping exon along the transcript."""
-    index = -best_overlap()["neg_index"]
+    index = -(best_overlap() if best is None else best)["neg_index"]
     return F.when(
         F.col("tx.strand") == "-", F.size("tx.exons") - index
     ).otherwise(index + 1)
 
 
-def corrected_boundaries() -> Column:
+def corrected_boundaries(best: Column | None = None) -> Column:
     """struct(start, end, source) of the model exon standing for the event's exon.
 
     First the best-overlapping exon if it covers and is covered by at least half;
     else, among the exons between the two flanks, the one closest in size.
     """
-    best = best_overlap()
+    best = best_overlap() if best is None else best
     size = exon_size()
     half = lambda length: (length <= 0) | (best["overlap"] / length >= 0.5)
     by_overlap = F.when(
@@ -176,11 +176,15 @@ def splice_window_sequences(events: DataFrame, genome: Genome) -> DataFrame:
     placed = events.where(
         F.col("chr").isNotNull() & F.col("exon_start").isNotNull() & F.col("exon_end").isNotNull()
     )
-    regions = placed.select(
-        "event_id", "chr", "strand", F.inline(as_long(splice_windows(start, end)))
+    named = resolved_contig(
+        placed.select("event_id", "chr", "strand", "exon_start", "exon_end", "upstream_ee",
+                      "downstream_es", "model_start", "model_end"),
+        contigs(genome.table),
+    )
+    regions = named.select(
+        "event_id", "contig", "strand", F.inline(as_long(splice_windows(start, end)))
     ).where(KNOWN)
-    named = resolved_contig(regions, contigs(genome.table))
-    found = short_regions(named, genome)
+    found = short_regions(regions, genome)
     oriented = found.select(
         "event_id", "slot", sq.oriented(F.col("seq"), F.col("strand")).alias("seq"),
         (F.col("start") < 0).alias("cut"),
@@ -197,11 +201,16 @@ def splice_window_sequences(events: DataFrame, genome: Genome) -> DataFrame:
 
 
 # -- feature table --------------------------------------------------------------------
-def signal_columns() -> dict[str, Column]:
-    """Everything derived from the window sequences alone."""
+def with_signals(windows: DataFrame) -> DataFrame:
+    """Adds everything derived from the window sequences alone."""
+    # the branch-point search is staged: eight columns read its one result
+    staged = windows.withColumn("_bp", sq.branch_point(F.col("ppt_seq")))
+    return staged.withColumns(_signal_columns(F.col("_bp"))).drop("_bp")
+
+
+def _signal_columns(bp: Column) -> dict[str, Column]:
     donor, acceptor, ppt = F.col("donor_seq"), F.col("acceptor_seq"), F.col("ppt_seq")
     has_ppt = F.length(ppt) > 0
-    bp = sq.branch_point(ppt)
     score = F.when(has_ppt, F.coalesce(bp["score"], F.lit(0)))
     found = F.coalesce(score >= sq.BRANCH_MIN_SCORE, F.lit(False))
     return {
@@ -237,22 +246,23 @@ def annotated(events: DataFrame, models: DataFrame) -> DataFrame:
     """Sizes, exon rank, frame class and corrected boundaries: no sequence needed."""
     up, down = intron_sizes()
     # stage by stage, so that each array expression is evaluated once
-    base = with_model(events, models).withColumns(
-        {"_fix": corrected_boundaries(), "_frame": frame_annotation()}
+    best = with_model(events, models).withColumn("_best", best_overlap())
+    base = best.withColumns(
+        {"_fix": corrected_boundaries(F.col("_best")), "_frame": frame_annotation()}
     )
     return base.withColumns({
         "exon_size": exon_size(),
         "upstream_intron_size": up,
         "downstream_intron_size": down,
         "transcript_id": F.col("tx.transcript_id"),
-        "exon_rank": exon_rank(),
+        "exon_rank": exon_rank(F.col("_best")),
         "frame_region": F.col("_frame.frame_region"),
         "frame_class": F.col("_frame.frame_class"),
         "cds_exon_length": F.col("_frame.cds_exon_length"),
         "model_start": F.col("_fix.start"),
         "model_end": F.col("_fix.end"),
         "model_exon_source": F.col("_fix.source"),
-    }).drop("tx", "_fix", "_frame")
+    }).drop("tx", "_best", "_fix", "_frame")
 
 
 def compute_features(events: DataFrame, models: DataFrame, genome: Genome) -> DataFrame:
@@ -260,7 +270,8 @@ def compute_features(events: DataFrame, models: DataFrame, genome: Genome) -> Da
     se = events.where(F.col("event_type") == "SE").select(*EVENT_INPUTS)
     known = annotated(se, models)
     windows = splice_window_sequences(known, genome)
-    joined = known.join(windows, "event_id", "left").withColumns(signal_columns())
+    joined = known.join(with_signals(windows), "event_id", "left").withColumn(
+        "bp_motif_found", F.coalesce("bp_motif_found", F.lit(False)))
     return joined.withColumns({
         "sequence_source": F.when(F.col("donor_seq").isNotNull(), F.lit("fasta")),
     }).select(*FEATURE_COLUMNS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isoscope.functions.catalogue import (
     ACCEPTOR_EXCLUDED_NT,
     DONOR_EXCLUDED_NT,
+    FLANK_NT,
     MOTIFS,
     REGIONS,
     literal_map,
@@ -16,29 +17,54 @@ from isoscope.functions.catalogue import (
 )
 from isoscope.functions.coordinates import KNOWN, as_long, is_plus, scan_regions
 from isoscope.functions.labels import min_q
-from isoscope.functions.sequence import oriented, overlapping_count
+from isoscope.functions.sequence import motif_counter, oriented
 from isoscope.operators.hypothesis import benjamini_hochberg, mann_whitney, with_proportion_test
 from isoscope.plans.lineage import materialize
-from isoscope.sources.genome import Genome, contigs, region_sequences, resolved_contig
+from isoscope.sources.genome import (
+    Genome,
+    contigs,
+    region_sequences,
+    resolved_contig,
+    short_regions,
+)
 
 
-def region_table(events: DataFrame) -> DataFrame:
-    """Long (event_id, chr, strand, region, start, end) of the available regions;
-    caller coordinates, never the corrected ones."""
-    placed = events.where(F.col("event_type") == "SE").where(
+def _placed(events: DataFrame) -> DataFrame:
+    return events.where(F.col("event_type") == "SE").where(
         "chr IS NOT NULL AND exon_start IS NOT NULL AND exon_end IS NOT NULL")
-    regions = placed.select(
-        "event_id", "chr", F.coalesce("strand", F.lit("+")).alias("strand"),
-        F.inline(as_long(scan_regions())),
-    )
-    return regions.where(KNOWN).withColumnRenamed("slot", "region")
+
+
+def _regions(placed: DataFrame, wanted: list[str], *carried: str) -> DataFrame:
+    """Long regions; caller coordinates, never the corrected ones."""
+    chosen = {k: v for k, v in scan_regions().items() if k in wanted}
+    return placed.select(
+        "event_id", *carried, F.coalesce("strand", F.lit("+")).alias("strand"),
+        F.inline(as_long(chosen)),
+    ).where(KNOWN).withColumnRenamed("slot", "region")
+
+
+def region_table(events: DataFrame) -> DataFrame:
+    """Long (event_id, chr, strand, region, start, end) of the available regions."""
+    return _regions(_placed(events), REGIONS, "chr")
 
 
 def region_text(events: DataFrame, genome: Genome) -> DataFrame:
-    """Non-empty region sequences in transcript orientation."""
-    named = resolved_contig(region_table(events), contigs(genome.table))
-    found = region_sequences(named, genome, ["event_id", "region"])
-    return found.select(
+    """Non-empty region sequences in transcript orientation.
+
+    Flank and intron windows are bounded and need one lookup each; only the skipped
+    exon itself can be longer than the genome table's padding."""
+    slim = _placed(events).select(
+        "event_id", "chr", "strand", "exon_start", "exon_end", "upstream_es", "upstream_ee",
+        "downstream_es", "downstream_ee")
+    named = resolved_contig(slim, contigs(genome.table))
+    exon = ["skipped_exon"]
+    bounded = _regions(named, [r for r in REGIONS if r not in exon], "contig")
+    if genome.pad >= FLANK_NT:
+        windows = short_regions(bounded, genome)
+    else:
+        windows = region_sequences(bounded, genome, ["event_id", "region"])
+    exons = region_sequences(_regions(named, exon, "contig"), genome, ["event_id", "region"])
+    return windows.unionByName(exons).select(
         "event_id", "region", oriented(F.col("seq"), F.col("strand")).alias("seq")
     ).where(F.col("seq") != "")
 
@@ -66,19 +92,19 @@ def region_diagnostics(events: DataFrame) -> DataFrame:
 def motif_hits(texts: DataFrame) -> DataFrame:
     """Adds one row per motif: (…, motif_name, protein, hits, density).
 
-    Patterns are literals, so each is compiled once; the 19 counts of a sequence
-    are computed in one projection and only then turned into rows.
+    The 19 counts of a sequence come from one vectorised pass and are only then
+    turned into rows.
     """
+    counted = texts.withColumn("_hits", motif_counter([p for _, _, p in MOTIFS])("seq"))
     rows = F.array(*[
         F.struct(
             F.lit(name).alias("motif_name"), F.lit(protein).alias("protein"),
-            F.lit(motif_width(pattern)).alias("width"),
-            overlapping_count(F.col("seq"), pattern).alias("hits"),
+            F.lit(motif_width(pattern)).alias("width"), F.col(f"_hits.m{i}").alias("hits"),
         )
-        for name, protein, pattern in MOTIFS
+        for i, (name, protein, pattern) in enumerate(MOTIFS)
     ])
     rest = [c for c in texts.columns if c != "seq"]
-    long = texts.select(*rest, F.length("seq").alias("_nt"), F.inline(rows))
+    long = counted.select(*rest, F.length("seq").alias("_nt"), F.inline(rows))
     density = F.least(F.lit(1.0), F.col("hits") * F.col("width") / F.col("_nt"))
     return long.withColumn("density", density).drop("_nt", "width")
 

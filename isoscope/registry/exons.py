@@ -250,7 +250,7 @@ def e6(spark, sf):
 def _feature_query(name: str, columns: list[str]) -> None:
     @query(name, f"SELECT event_id, {', '.join(columns)} FROM features")
     def run(spark, sf):
-        return _texts(spark, sf).withColumns(ft.signal_columns()).select("event_id", *columns)
+        return ft.with_signals(_texts(spark, sf)).select("event_id", *columns)
 
 
 _feature_query("e7_donor_gt", ["donor_seq", "donor_is_gt"])
@@ -323,32 +323,38 @@ def e17(spark, sf):
         F.count(F.lit(1)).alias("n_regions"))
 
 
-def hit_sql(source: str = "scan_text") -> str:
-    """Overlapping counts by testing every start (no lookahead in the oracle's regex)."""
-    return f""", m(motif_name, protein, pattern, width) AS (VALUES {', '.join(f"('{n}', '{f}', '{p}', {motif_width(p)})" for n, f, p in MOTIFS)}),
-starts AS (SELECT event_id, region, seq, unnest(range(1, length(seq) + 1)) AS i FROM {source}),
-hits AS (SELECT s.event_id, s.region, m.motif_name, m.protein, length(s.seq) AS nt, m.width, h.n AS hits
-  FROM {source} s CROSS JOIN m LEFT JOIN (
-    SELECT event_id, region, motif_name, count(*) AS n FROM starts JOIN m ON regexp_full_match(substr(seq, i, width), pattern) GROUP BY ALL) h
-  ON h.event_id = s.event_id AND h.region = s.region AND h.motif_name = m.motif_name)
+def _starts_here(pattern: str) -> str:
+    return (f"regexp_matches(k7, '^{pattern}')" if "[" in pattern
+            else f"starts_with(k7, '{pattern}')")
+
+
+# overlapping counts: every start of every text is looked at through its next 7 bases
+HIT_SQL = f""", m(i, motif_name, protein, width) AS (VALUES {', '.join(f"({i}, '{n}', '{f}', {motif_width(p)})" for i, (n, f, p) in enumerate(MOTIFS, 1))}),
+starts AS (SELECT event_id, region, length(seq) AS nt, substr(seq, i, 7) AS k7 FROM (SELECT event_id, region, seq, unnest(range(1, length(seq) + 1)) AS i FROM scan_text) x),
+wide AS (SELECT event_id, region, nt, [{', '.join(f"count(*) FILTER (WHERE {_starts_here(p)})" for _, _, p in MOTIFS)}] AS c FROM starts GROUP BY event_id, region, nt),
+hits AS (SELECT event_id, region, nt, motif_name, protein, width, c[i] AS hits FROM wide CROSS JOIN m)
 """
 
 
-# only regions of significant events: the oracle tests every start of every text
-SIG_TEXT = ", sig_text AS (SELECT scan_text.* FROM scan_text JOIN se USING (event_id) WHERE sig)\n"
+def _by_motif(spark, sf, value):
+    """One row per region with the value of all motifs in catalogue order."""
+    texts = motifs.region_text(fx.events(spark, sf), fx.genome(spark, sf))
+    rank = literal_map({n: i for i, (n, _, _) in enumerate(MOTIFS)})
+    rows = motifs.motif_hits(texts).select(
+        "event_id", "region", F.struct(F.try_element_at(rank, F.col("motif_name")).alias("i"),
+                                       value.cast("string").alias("v")).alias("x"))
+    return rows.groupBy("event_id", "region").agg(
+        F.array_join(F.array_sort(F.collect_list("x"))["v"], ",").alias("per_motif"))
 
 
-@query("e18_overlapping_motif_hits", SCAN_SQL + SIG_TEXT + hit_sql("sig_text") + "SELECT event_id, region, motif_name, coalesce(hits, 0) AS hits FROM hits")
+@query("e18_overlapping_motif_hits", SCAN_SQL + HIT_SQL + "SELECT event_id, region, array_to_string(c, ',') AS per_motif FROM wide")
 def e18(spark, sf):
-    texts = motifs.region_text(fx.events(spark, sf).where(fx.significant()), fx.genome(spark, sf))
-    return motifs.motif_hits(texts).select("event_id", "region", "motif_name", "hits")
+    return _by_motif(spark, sf, F.col("hits"))
 
 
-@query("e19_motif_density", SCAN_SQL + SIG_TEXT + hit_sql("sig_text") + "SELECT event_id, region, motif_name, round(least(1.0, coalesce(hits, 0) * width / cast(nt AS double)), 9) AS density FROM hits")
+@query("e19_motif_density", SCAN_SQL + HIT_SQL + "SELECT event_id, region, string_agg(cast(cast(round(least(1.0, hits * width / cast(nt AS double)) * 1000000) AS bigint) AS varchar), ',' ORDER BY m.i) AS per_motif FROM hits JOIN m USING (motif_name) GROUP BY event_id, region")
 def e19(spark, sf):
-    texts = motifs.region_text(fx.events(spark, sf).where(fx.significant()), fx.genome(spark, sf))
-    return motifs.motif_hits(texts).select(
-        "event_id", "region", "motif_name", F.round("density", 9).alias("density"))
+    return _by_motif(spark, sf, F.round(F.col("density") * 1000000).cast("bigint"))
 
 
 _CHR_SQL = "CASE event_id % 9 WHEN 0 THEN 'chrUn_' || cast(event_id % 3 AS varchar) WHEN 1 THEN 'CHRMT' WHEN 2 THEN substr(chr, 4) WHEN 3 THEN NULL WHEN 4 THEN 'chr01' ELSE chr END"
@@ -433,7 +439,7 @@ def e28(spark, sf):
 @query("e29_site_label", """SELECT event_id, CASE WHEN event_id % 13 = 0 OR donor_is_gt IS NULL THEN '?' WHEN donor_is_gt THEN 'GT' ELSE '!GT' END || '/' ||
   CASE WHEN acceptor_is_ag IS NULL THEN '?' WHEN acceptor_is_ag THEN 'AG' ELSE '!AG' END AS site_label FROM features""")
 def e29(spark, sf):
-    f = _texts(spark, sf).withColumns(ft.signal_columns())
+    f = ft.with_signals(_texts(spark, sf))
     donor = F.when(F.col("event_id") % 13 != 0, F.col("donor_is_gt"))
     return f.select("event_id", labels.site_label(donor, F.col("acceptor_is_ag")).alias("site_label"))
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from isoscope.functions.catalogue import MOTIFS, REGIONS, regulatory_effects
 from isoscope.operators import motifs as mo
 from isoscope.registry import fixtures as fx
-from isoscope.registry.exons import SCAN_SQL, hit_sql
+from isoscope.registry.exons import HIT_SQL, SCAN_SQL
 from isoscope.registry.tests import mwu_sql, normal_tail
 
 R = fx.Registry()
 query = R.query
 
 # hit counts of every region of every skipped exon
-_ALL = SCAN_SQL + hit_sql() + """, dens AS MATERIALIZED (SELECT motif_name, protein, region, sig, coalesce(hits, 0) AS hits, least(1.0, coalesce(hits, 0) * width / cast(nt AS double)) AS v
+_ALL = SCAN_SQL + HIT_SQL + """, dens AS MATERIALIZED (SELECT motif_name, protein, region, sig, hits AS hits, least(1.0, hits * width / cast(nt AS double)) AS v
   FROM hits JOIN se USING (event_id))
 """
 _CELLS = "motif_name, protein, region"
