@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoscope.functions.catalogue import EVENT_TYPES
+from isoscope.operators import patterns, ranking
 
 EVENT_EXPORT = [
     "event_id", "gene_symbol", "gene_id", "event_type", "chr", "strand", "exon_start",
@@ -75,6 +76,30 @@ def export_summary(
         for i, (k, v) in enumerate(rows)])))
 
 
+def report_tables(
+    events: DataFrame, joined: DataFrame, significant: Column, sections: set[str]
+) -> dict[tuple[str, str], DataFrame]:
+    """Tables of the sections that need events and features only, keyed by
+    (section, table): a global summary, b significant subset, c group comparison,
+    top_events.  The permutation (d), motif (e) and gene-set (f) sections are
+    `permutation.convergence_table`, `motifs.significant_rows` and
+    `annotation.over_representation`."""
+    have = joined.where("has_features")
+    tagged = joined.withColumn("is_significant", significant)
+    out: dict[tuple[str, str], DataFrame] = {}
+    if "a" in sections:
+        out["a", "type_counts"] = patterns.type_counts(events)
+        out["a", "summary"] = patterns.report_summary(events, have)
+    if "b" in sections:
+        out["b", "feature_table"] = patterns.report_feature_table(have.where(significant))
+    if "c" in sections:
+        out["c", "group_statistics"] = patterns.group_statistics(tagged)
+    if "top_events" in sections:
+        out["top_events", "top"] = ranking.top_skipped_exons(joined.where(significant))
+        out["top_events", "flank_corrected"] = ranking.flank_corrected_shown(joined)
+    return out
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write an export; CSV gets a header.  One file per partition."""
     writer = df.write.mode("overwrite")

@@ -352,7 +352,7 @@ def e18(spark, sf):
     return _by_motif(spark, sf, F.col("hits"))
 
 
-@query("e19_motif_density", SCAN_SQL + HIT_SQL + "SELECT event_id, region, string_agg(cast(cast(round(least(1.0, hits * width / cast(nt AS double)) * 1000000) AS bigint) AS varchar), ',' ORDER BY m.i) AS per_motif FROM hits JOIN m USING (motif_name) GROUP BY event_id, region")
+@query("e19_motif_density", SCAN_SQL + HIT_SQL + "SELECT event_id, region, string_agg(cast(cast(round(least(1.0, hits * width / cast(nt AS double)) * 1000000) AS bigint) AS varchar), ',' ORDER BY m.i) AS per_motif FROM hits JOIN (SELECT i, motif_name FROM m) m USING (motif_name) GROUP BY event_id, region")
 def e19(spark, sf):
     return _by_motif(spark, sf, F.round(F.col("density") * 1000000).cast("bigint"))
 

@@ -26,7 +26,7 @@ _COMPARE = _ALL + _GRID + mwu_sql("dens", _CELLS) + f""", kk AS (SELECT {_CELLS}
 kz AS (SELECT {_CELLS}, (k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2)) AS z FROM kk
   WHERE n1 >= 5 AND n2 >= 5 AND k1 + k2 > 0 AND k1 + k2 < n1 + n2),
 kp AS ({normal_tail('kz', _CELLS)}),
-r0 AS (SELECT grid.*, k1, n1, k2, n2, d1, d2, kp.z AS z, kp.p AS p, mwu_u.u AS u, mwu.p AS pu FROM grid LEFT JOIN kk USING ({_CELLS}) LEFT JOIN kp USING ({_CELLS}) LEFT JOIN mwu_u USING ({_CELLS}) LEFT JOIN mwu USING ({_CELLS})),
+r0 AS (SELECT grid.*, k1, kk.n1 AS n1, k2, kk.n2 AS n2, d1, d2, kp.z AS z, kp.p AS p, mwu_u.u AS u, mwu.p AS pu FROM grid LEFT JOIN kk USING ({_CELLS}) LEFT JOIN kp USING ({_CELLS}) LEFT JOIN mwu_u USING ({_CELLS}) LEFT JOIN mwu USING ({_CELLS})),
 r1 AS (SELECT *, count(p) OVER () AS m1, row_number() OVER (ORDER BY p NULLS LAST, motif_name, region) AS i1, count(pu) OVER () AS m2, row_number() OVER (ORDER BY pu NULLS LAST, motif_name, region) AS i2 FROM r0),
 r2 AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m1 / i1) OVER (ORDER BY i1 DESC)) END AS q, CASE WHEN pu IS NOT NULL THEN least(1.0, min(pu * m2 / i2) OVER (ORDER BY i2 DESC)) END AS qu FROM r1),
 enriched AS (SELECT {_CELLS}, cast(k1 AS bigint) AS sig_hit_count, cast(n1 AS bigint) AS sig_total, cast(k2 AS bigint) AS bg_hit_count, cast(n2 AS bigint) AS bg_total,

@@ -8,10 +8,12 @@ equi-join plus a substring; longer regions are cut into pieces and glued again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +126,8 @@ def read_fai(spark: SparkSession, fai: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, fasta: str, fai: str, chunk_nt: int = 4096) -> DataFrame:
     """Chunk table of an indexed FASTA.  Every task seeks to its own byte ranges, so
-    a contig is never held whole.  The file must be on a path all executors mount."""
+    a contig is never held whole.  `fasta` is a path or URI that every executor can
+    open (local mount, hdfs://, s3://)."""
     index = read_fai(spark, fai)
     starts = index.withColumn(
         "chunk_id",
@@ -132,7 +135,8 @@ def read_fasta(spark: SparkSession, fasta: str, fai: str, chunk_nt: int = 4096)
     ).repartition("contig", F.floor(F.col("chunk_id") / 1024))
 
     def seek_read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(fasta, "rb") as handle:
+        files, path = FileSystem.from_uri(re.sub("^file:/+", "/", fasta))
+        with files.open_input_file(path) as handle:
             for batch in batches:
                 out = []
                 for row in batch.itertuples(index=False):

@@ -45,15 +45,15 @@ def read_gff3(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "value",
     )
     rows = lines.where(~F.col("value").startswith("#") & (F.size("f") >= 9))
-    seqid = F.col("f")[0]
+    seqid = F.get("f", F.lit(0))
     return rows.select(
         "line_no",
         F.when(seqid.startswith("chr"), seqid).otherwise(F.concat(F.lit("chr"), seqid)).alias("chr"),
-        F.col("f")[2].alias("feature"),
-        (F.col("f")[3].cast("bigint") - 1).alias("start"),
-        F.col("f")[4].cast("bigint").alias("end"),
-        F.col("f")[6].alias("strand"),
-        _attributes(F.col("f")[8]).alias("attrs"),
+        F.get("f", F.lit(2)).alias("feature"),
+        (F.get("f", F.lit(3)).cast("bigint") - 1).alias("start"),
+        F.get("f", F.lit(4)).cast("bigint").alias("end"),
+        F.get("f", F.lit(6)).alias("strand"),
+        _attributes(F.get("f", F.lit(8))).alias("attrs"),
     )
 
 
