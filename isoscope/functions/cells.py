@@ -14,11 +14,8 @@ def count_list(cell: Column) -> Column:
     """Replicate counts.  Blank tokens vanish (and so shift the pairing); a token
     that is not a finite number becomes null.  A missing cell is an empty list."""
     kept = F.filter(_tokens(cell), lambda t: t != "")
-    as_double = lambda t: t.try_cast("double")
-    parsed = F.transform(
-        kept,
-        lambda t: F.when(~F.isnan(as_double(t)), as_double(t).try_cast("bigint")),
-    )
+    # a NaN or infinite double has no bigint and so becomes null as well
+    parsed = F.transform(kept, lambda t: t.try_cast("double").try_cast("bigint"))
     return F.coalesce(parsed, F.array().cast("array<bigint>"))
 
 
@@ -40,14 +37,24 @@ def display_mean_psi(cell: Column) -> Column:
 
 
 def mean(values: Column) -> Column:
-    """Mean of an array of numbers, null when it is empty."""
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-    return F.when(F.size(values) > 0, total / F.size(values))
+    """Mean of the non-null elements of an array, null when there are none.  One pass:
+    the array expression is evaluated once."""
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    return F.aggregate(
+        values,
+        start,
+        lambda acc, v: F.struct(
+            (acc["total"] + F.coalesce(v.cast("double"), F.lit(0.0))).alias("total"),
+            (acc["n"] + v.isNotNull().cast("int")).alias("n"),
+        ),
+        lambda acc: F.when(acc["n"] > 0, acc["total"] / acc["n"]),
+    )
 
 
 def mean_coverage(inclusion_cell: Column, skipping_cell: Column) -> Column:
     """Mean inclusion + skipping count over the replicate pairs where both parse;
     pairs beyond the shorter list are ignored.  Null when no pair is usable."""
-    # zip_with pads the shorter list with nulls, whose sums are null and drop out.
-    sums = F.zip_with(count_list(inclusion_cell), count_list(skipping_cell), lambda i, s: i + s)
-    return mean(F.filter(sums, lambda v: v.isNotNull()))
+    # zip_with pads the shorter list with nulls, whose sums are null and do not count
+    return mean(
+        F.zip_with(count_list(inclusion_cell), count_list(skipping_cell), lambda i, s: i + s)
+    )

@@ -33,8 +33,8 @@ def filter_low_coverage(events: DataFrame, min_coverage: float = MIN_COVERAGE) -
     """Keep events covered in both groups; a no-op without the count columns."""
     if not set(COUNT_COLUMNS) <= set(events.columns):
         return events
-    kept = with_coverage_status(events, min_coverage).where("coverage_status = 'kept'")
-    return kept.select(events.columns)
+    one, two = group_coverage()
+    return events.where((one >= min_coverage) & (two >= min_coverage))
 
 
 def drop_accounting(events: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:

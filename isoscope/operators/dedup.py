@@ -152,7 +152,8 @@ def _greedy_pass(bp: int):
                     if k is not None:
                         seen[tuple(v // width for v in k)] = k
                 ids.append(event_id)
-            yield pd.DataFrame({"event_id": ids})
+            if ids:
+                yield pd.DataFrame({"event_id": ids})
 
     return run
 

@@ -93,12 +93,11 @@ def frame_annotation(mode: str = "span") -> Column:
     gap between segments is partial.
     """
     start, end = F.col("exon_start"), F.col("exon_end")
-    cds = F.col("tx.cds")
+    cds = merged_intervals(F.col("tx.cds")) if mode == "segments" else F.col("tx.cds")
     lo, hi = F.array_min(F.transform(cds, lambda c: c["start"])), F.array_max(
         F.transform(cds, lambda c: c["end"]))
     if mode == "segments":
-        merged = merged_intervals(cds)
-        coding = F.aggregate(merged, F.lit(0).cast("bigint"), lambda acc, c: acc + _overlap(c))
+        coding = F.aggregate(cds, F.lit(0).cast("bigint"), lambda acc, c: acc + _overlap(c))
         whole = coding >= end - start
     else:
         coding = F.least(end, hi) - F.greatest(start, lo)

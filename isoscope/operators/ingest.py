@@ -63,18 +63,19 @@ def ingest_files(
 
 def warnings(spark: SparkSession, paths: list[str], events: DataFrame) -> DataFrame:
     """Files that are empty, unrecognised or contributed no row."""
-    # only file metadata is read here: the content column is pruned
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-        .select("path", "length")
-    )
-    known = headers(spark, paths).select("path", "event_type")
-    used = events.groupBy("path").agg(F.count(F.lit(1)).alias("n_events"))
+    # the file index also knows empty files, which no scan returns
+    listed = spark.read.option("recursiveFileLookup", "true").text(paths).inputFiles()
+    same = lambda c: F.regexp_replace(c, ":/+", ":/")  # noqa: E731  file:/x and file:///x
+    files = spark.createDataFrame([(p,) for p in listed], "path string").select(
+        same("path").alias("path"))
+    known = headers(spark, paths).select(
+        same("path").alias("path"), "event_type", F.col("header_line").alias("first_line"))
+    used = events.groupBy(same("path").alias("path")).agg(F.count(F.lit(1)).alias("n_events"))
     return (
         files.join(known, "path", "left").join(used, "path", "left")
         .select(
             logical_name(F.col("path")).alias("name"),
-            F.when(F.col("length") == 0, "empty file")
+            F.when(F.col("first_line").isNull(), "empty file")
             .when(F.col("event_type").isNull(), "unrecognised file")
             .when(F.col("n_events").isNull(), "no event in file").alias("warning"),
         )

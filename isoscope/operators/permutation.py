@@ -311,7 +311,9 @@ def _metric_null(iterations: int, seed: int, max_splits: int, blocks: int):
         n1, n2 = int(pdf["n_first"].sum()), int(pdf["n_second"].sum())
         counts = (pdf["n_first"] + pdf["n_second"]).to_numpy(np.int64)
         total = float(values @ counts)
-        empty = pd.DataFrame({"metric": [], "null": [], "exact": []})
+        empty = pd.DataFrame({
+            "metric": pd.Series([], dtype=object), "null": pd.Series([], dtype=float),
+            "exact": pd.Series([], dtype=bool)})
         if n1 == 0 or n2 == 0 or n1 + n2 < 4:
             return empty
         # more items than max_splits mean more splits too: no need for the big product
@@ -324,7 +326,7 @@ def _metric_null(iterations: int, seed: int, max_splits: int, blocks: int):
             rng = np.random.default_rng([seed, METRICS.index(metric), block])
             sums, exact = _draw_sums(values, counts, n1, k, rng), False
         return pd.DataFrame(
-            {"metric": metric, "null": sums / n1 - (total - sums) / n2, "exact": exact})
+            {"metric": pd.Series([metric] * len(sums), dtype=object), "null": sums / n1 - (total - sums) / n2, "exact": exact})
 
     return run
 

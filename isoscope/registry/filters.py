@@ -42,9 +42,10 @@ def b1(spark, sf):
 
 @query("b2_coverage_filter", COVERAGE + "SELECT event_id, event_type, round(c1, 6) AS coverage_1, round(c2, 6) AS coverage_2 FROM coverage WHERE c1 >= 10 AND c2 >= 10")
 def b2(spark, sf):
-    kept = coverage.with_coverage_status(fx.events(spark, sf)).where("coverage_status = 'kept'")
-    return kept.select("event_id", "event_type", F.round("coverage_1", 6).alias("coverage_1"),
-                       F.round("coverage_2", 6).alias("coverage_2"))
+    one, two = coverage.group_coverage()
+    return coverage.filter_low_coverage(fx.events(spark, sf)).select(
+        "event_id", "event_type", F.round(one, 6).alias("coverage_1"),
+        F.round(two, 6).alias("coverage_2"))
 
 
 @query("b3_drop_accounting", COVERAGE + """SELECT count(*) AS n_total,

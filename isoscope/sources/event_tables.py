@@ -86,6 +86,7 @@ def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
         "*",
         event_type(F.col("name"), F.col("header")).alias("event_type"),
         counting_mode(F.col("name")).alias("counting_mode"),
+        F.array(*[_slot(c) for c in cat.RAW_HEADERS]).alias("slots"),
     )
 
 
@@ -100,31 +101,31 @@ def raw_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
     # the header side has one row per file; Spark broadcasts it only if it is
     # small at run time, and splits the line side of a large file otherwise
     rows = body.join(known, "path").where(F.col("line") != F.col("header_line"))
-    cell = lambda c: F.regexp_replace(c, '^"|"$', "")
+    cells = F.transform(
+        F.split(F.regexp_replace("line", "\r$", ""), "\t"), lambda c: F.btrim(c, F.lit('"')))
     return rows.select(
-        "path", "name", "event_type", "counting_mode", "header",
-        F.transform(
-            F.split(F.regexp_replace("line", "\r$", ""), "\t"),
-            lambda c: F.when(~cell(c).isin(*cat.NULL_TOKENS), cell(c)),
-        ).alias("cells"),
+        "path", "name", "event_type", "counting_mode", "slots",
+        F.transform(cells, lambda c: F.when(~c.isin(*cat.NULL_TOKENS), c)).alias("cells"),
     )
 
 
 # -- projection -------------------------------------------------------------------
-def named_column(internal: str) -> Column:
-    """Cell of the first header (in header order) that maps to an internal name."""
+def _slot(internal: str) -> Column:
+    """0-based position of the first header (in header order) that maps to an
+    internal name, or null.  Evaluated once per file, not per row."""
     accepted = F.array(*[F.lit(h) for h in cat.RAW_HEADERS[internal]])
     first = F.try_element_at(
         F.filter(F.col("header"), lambda h: F.array_contains(accepted, h)), F.lit(1)
     )
-    return F.get(F.col("cells"), (F.array_position("header", first) - 1).cast("int"))
+    return (F.array_position("header", first) - 1).cast("int")
 
 
 def renamed(cells: DataFrame) -> DataFrame:
     """Internal text columns; unknown columns and the second `ID` disappear."""
     return cells.select(
-        "path", "name", "event_type", "counting_mode", "header",
-        *[named_column(c).alias(c) for c in cat.RAW_HEADERS],
+        "path", "name", "event_type", "counting_mode",
+        *[F.get("cells", F.get("slots", F.lit(i))).alias(c)
+          for i, c in enumerate(cat.RAW_HEADERS)],
     )
 
 
