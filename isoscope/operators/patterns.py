@@ -180,12 +180,15 @@ def size_distribution(features: DataFrame) -> DataFrame:
 
 def report_size_histogram(features: DataFrame) -> DataFrame:
     """25-nt bins, at most 40, the last one open."""
-    sized = features.where("exon_size IS NOT NULL").select("exon_size", F.lit(1).alias("_one"))
+    # one row per distinct size before anything is joined to the single limit row
+    sized = features.where("exon_size IS NOT NULL").groupBy("exon_size").agg(
+        F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
     limit = sized.groupBy("_one").agg(
         F.least(F.ceil(F.max("exon_size") / 25) + 1, F.lit(40)).alias("n_bins"))
     slot = F.least(F.floor(F.col("exon_size") / 25), F.col("n_bins") - 1)
-    filled = sized.join(limit, "_one").groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = limit.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).alias("bin"))
+    filled = sized.join(limit, "_one").groupBy(slot.alias("bin")).agg(F.sum("n").alias("n"))
+    every = limit.select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).alias("bin"))
     return every.join(filled, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -77,6 +77,10 @@ def _histograms(null: np.ndarray, unit: int, bins: int) -> np.ndarray:
     return np.bincount(flat.ravel(), minlength=len(null) * bins).reshape(len(null), bins)
 
 
+# event columns that travel through the test, so that no join has to bring them back
+CARRIED = ["event_id", "gene_symbol", "delta", "n1", "n2"]
+
+
 def _event_tests(iterations: int, seed: int, max_splits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}  # split matrices by design
@@ -98,7 +102,7 @@ def _event_tests(iterations: int, seed: int, max_splits: int):
                     p = hits / null.shape[1] if exact else (hits + 1) / (null.shape[1] + 1)
                     hist = _histograms(null, n1 * n2 * PSI_SCALE, NULL_BINS)
                     yield pd.DataFrame({
-                        "event_id": part["event_id"],
+                        **{c: part[c].astype(object) for c in CARRIED},
                         "p_raw": p,
                         "tested_delta_psi": seen / (n1 * n2 * PSI_SCALE),
                         "exact": exact,
@@ -143,18 +147,15 @@ def event_permutations(
     """
     inputs = event_inputs(events)
     id_type = inputs.schema["event_id"].dataType.simpleString()
-    tested = inputs.select(
-        "event_id", "n1", "n2", "pool", F.xxhash64("event_id").alias("key")
-    ).mapInPandas(
+    tested = inputs.select(*CARRIED, "pool", F.xxhash64("event_id").alias("key")).mapInPandas(
         _event_tests(clamped_iterations(iterations), seed, max_splits),
-        f"event_id {id_type}, p_raw double, tested_delta_psi double, exact boolean, "
-        "n_splits bigint, null_hist array<bigint>",
+        f"event_id {id_type}, gene_symbol string, delta double, n1 int, n2 int, p_raw double, "
+        "tested_delta_psi double, exact boolean, n_splits bigint, null_hist array<bigint>",
     )
-    shown = inputs.select("event_id", "gene_symbol", "delta", "n1", "n2")
     pairs = F.transform(
         F.sequence(F.lit(0), F.lit(EVENT_BINS - 1)),
         lambda i: F.get("null_hist", i * 2) + F.get("null_hist", i * 2 + 1))
-    return shown.join(tested, "event_id").select(
+    return tested.select(
         "event_id", "gene_symbol",
         F.round("delta", 4).alias("observed_delta_psi"), F.col("delta").alias("observed_raw"),
         "tested_delta_psi",
