@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from isoscope.functions.catalogue import CHROMOSOME_MB, literal_map
-
 UNKNOWN_RANK = 100
 
 
-def _bare_name(chrom: Column) -> Column:
+def bare_name(chrom: Column) -> Column:
+    """Upper-case name without its `chr` prefix."""
     return F.upper(F.regexp_replace(F.trim(F.coalesce(chrom, F.lit(""))), "^[cC][hH][rR]", ""))
 
 
 def chromosome_key(chrom: Column) -> tuple[Column, Column]:
     """(rank, name): 1..22, X, Y, M first, then other contigs by name."""
-    name = _bare_name(chrom)
+    name = bare_name(chrom)
     number = name.try_cast("int")
     # the round trip rejects spellings such as "01" or " 7"
     numbered = (number.cast("string") == name) & number.between(1, 22)
@@ -33,18 +32,5 @@ def chromosome_key(chrom: Column) -> tuple[Column, Column]:
 def display_rank(chrom: Column) -> Column:
     """Order used by event cards: as above, without MT, unknown last (99)."""
     rank, _ = chromosome_key(chrom)
-    known = (rank < UNKNOWN_RANK) & (_bare_name(chrom) != "MT")
+    known = (rank < UNKNOWN_RANK) & (bare_name(chrom) != "MT")
     return F.when(known, rank).otherwise(99)
-
-
-def plot_x(chrom: Column, position: Column, offsets: Column) -> Column:
-    """Mb along the concatenated genome; null for a chromosome without offset."""
-    return F.try_element_at(offsets, _bare_name(chrom)) + position / F.lit(1e6)
-
-
-def chromosome_mb() -> Column:
-    return literal_map({k: float(v) for k, v in CHROMOSOME_MB.items()})
-
-
-def bare_name(chrom: Column) -> Column:
-    return _bare_name(chrom)
