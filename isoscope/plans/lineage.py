@@ -1,4 +1,8 @@
-"""Cutting lineage through a written table in the cluster's shared folder."""
+"""Cutting lineage through tables written in the folder that all executors share.
+
+`spark.checkpoint.dir` names that folder.  Only a single-machine session (master
+`local` or `local[n]`) may leave it unset; it then gets a temporary folder of its own.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a temporary one only where the
-    session names none (single-machine runs such as tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="isoscope-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/isoscope-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/isoscope-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/isoscope-{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -27,4 +36,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     executors that may be lost, and the reader knows the true size."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._isoscope_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables whose last consumer has finished."""
+    for table in tables:
+        path = getattr(table, "_isoscope_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+            _written.get(table.sparkSession.sparkContext.applicationId, []).remove(path)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete every intermediate table this session still has; call it once the
+    results that read them are written.  Returns how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
