@@ -27,6 +27,3 @@ def odd(spark):
 def empty(odd):
     return odd.limit(0)
 
-
-def rows_by(df, *keys):
-    return {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r for r in df.collect()}

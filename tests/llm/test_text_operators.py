@@ -16,10 +16,16 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from conftest import SF, rows_by
 from isoscope.llm import bpe, packing, quality, secrets, syncmers
 
 
+SF = "/root/testdata/sf0.001"
+
+
+def rows_by(df, key):
+    return {r[key]: r for r in df.collect()}
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
