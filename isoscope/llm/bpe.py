@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from isoscope.llm.arrays import extended, worker_state
 
-CACHE_PIECES = 400_000  # words a worker remembers; the memory then starts afresh
+CACHE_PIECES = 400_000  # words and pieces a worker remembers; each memory then starts afresh
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -53,8 +53,8 @@ class Codec:
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = {
-            (vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank_of = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + self.suffix] for s in symbols]
@@ -73,42 +73,56 @@ class Codec:
             table[number] = token.encode() if None in known else bytes(known)
         self.strings = [table.get(i, b"") for i in range(max(table) + 1)]
         self.known: dict[str, bytes] = {}
+        self.known_pieces: dict[bytes, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token, given in UTF-8."""
         ids = [self.inner[b] for b in data]
         ids[-1] = self.last[data[-1]]
-        n, merges = len(ids), self.merges
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(found[0], i, found[1]) for i in range(n - 1)
-                 if (found := merges.get((ids[i], ids[i + 1])))]
+        n, rank_of, made = len(ids), self.rank_of.get, self.made
+        # an entry is rank and position in one number, so equal ranks go left to right
+        queue = [rank << 32 | i for i in range(n - 1)
+                 if (rank := rank_of(ids[i] << 20 | ids[i + 1])) is not None]
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         while queue:
-            rank, i, merged = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if ids[i] < 0 or j < 0 or merges.get((ids[i], ids[j])) != (rank, merged):
+            if ids[i] < 0 or j < 0 or rank_of(ids[i] << 20 | ids[j]) != rank:
                 continue  # stale: one of its symbols has changed
-            ids[i], ids[j] = merged, -1
+            ids[i] = merged = made[rank]
+            ids[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((merged, ids[k])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((ids[h], merged))):
-                heapq.heappush(queue, (found[0], h, found[1]))
+                if (found := rank_of(merged << 20 | ids[k])) is not None:
+                    heapq.heappush(queue, found << 32 | i)
+            h = before[i]
+            if h >= 0 and (found := rank_of(ids[h] << 20 | merged)) is not None:
+                heapq.heappush(queue, found << 32 | h)
         return [t for t in ids if t >= 0]
 
+    def _piece(self, data: bytes) -> bytes:
+        packed = np.array(self.merge(data), "<u4").tobytes()
+        if len(self.known_pieces) >= CACHE_PIECES:
+            self.known_pieces.clear()
+        self.known_pieces[data] = packed
+        return packed
+
     def _word(self, word: str) -> bytes:
         """Packed ids of a chunk without white space."""
         pieces = [p.encode() for p in self.pieces(word)]
-        if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
+        if not word.isprintable() and any(unicodedata.category(c) == "Cn" for c in word):
             # characters newer than this Python's Unicode tables: normalised and cut by
             # the library's, which are newer
             found = self.library.pre_tokenizer.pre_tokenize_str(
                 self.library.normalizer.normalize_str(word))
             pieces = [bytes([self.byte_of[c] for c in piece]) for piece, _ in found]
-        ids = [t for piece in pieces for t in self.merge(piece)]
-        packed = np.array(ids, "<u4").tobytes()
+        known = self.known_pieces.get
+        packed = b"".join([known(p) or self._piece(p) for p in pieces])
         if len(self.known) >= CACHE_PIECES:
             self.known.clear()
         self.known[word] = packed
