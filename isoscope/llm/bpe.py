@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from isoscope.llm.arrays import extended, worker_state
 
 CACHE_PIECES = 400_000  # words and pieces a worker remembers; each memory then starts afresh
+GROUP_CHARS = 4_000_000  # texts whose new pieces are merged together
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -123,19 +124,20 @@ class Codec:
             pieces = [bytes([self.byte_of[c] for c in piece]) for piece, _ in found]
         known = self.known_pieces.get
         packed = b"".join([known(p) or self._piece(p) for p in pieces])
-        if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
         self.known[word] = packed
         return packed
 
     def _plain(self, text: str) -> bytes:
+        if len(self.known) >= CACHE_PIECES:
+            self.known.clear()
+        known, word = self.known.get, self._word
+        return b"".join([known(w) or word(w) for w in self._normal(text)])
+
+    def _normal(self, text: str) -> list[str]:
+        """Normalised chunks without white space."""
         text = unicodedata.normalize("NFC", text)
         # character by character: no final sigma
         text = text.replace("Σ", "σ").lower()
-        known, word = self.known.get, self._word
-        return b"".join([known(w) or word(w) for w in self._chunks(text)])
-
-    def _chunks(self, text: str) -> list[str]:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # space to Python, not to the pattern
             return [w for w in self.spaces.split(text) if w]
         return text.split()
@@ -151,12 +153,115 @@ class Codec:
             at = found.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """As `encode` for each text; the new pieces of some million characters are
+        merged together."""
+        out, first, size = [], 0, 0
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= GROUP_CHARS or i == len(texts):
+                out += self._encode_group(texts[first:i])
+                first, size = i, 0
+        return out
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        chunks = [self._normal(t) if "<|" not in t else None for t in texts]
+        seen = set().union(*(c for c in chunks if c is not None))
+        if len(self.known) + len(seen) > CACHE_PIECES:
+            self.known.clear()  # nothing below clears it before this group is packed
+        new = [w for w in seen.difference(self.known) if w.isprintable()]
+        cut = [[p.encode() for p in self.pieces(w)] for w in new]
+        pieces = {p for own in cut for p in own}
+        if len(self.known_pieces) + len(pieces) > CACHE_PIECES:
+            self.known_pieces.clear()
+        known = self.known_pieces
+        unknown = list(pieces.difference(known))
+        known |= zip(unknown, merge_together(self, unknown), strict=True)
+        self.known |= zip(new, [b"".join([known[p] for p in own]) for own in cut], strict=True)
+        for word in seen.difference(self.known):
+            self._word(word)
+        of = self.known.__getitem__
+        packed = [None if c is None else b"".join(map(of, c)) for c in chunks]
+        return [self.encode(t) if p is None else p for t, p in zip(texts, packed, strict=True)]
+
     def decode(self, ids: bytes) -> str:
         strings = self.strings
         numbers = np.frombuffer(ids, "<u4").tolist()
         return self.between.join([strings[i] for i in numbers]).decode("utf-8", "replace")
 
 
+class MergeTable:
+    """The merges as arrays: an open-addressing hash of pairs."""
+
+    SLOTS = 1 << 19
+
+    def __init__(self, own: Codec):
+        self.key = np.full(self.SLOTS, -1, np.int64)
+        self.rank = np.zeros(self.SLOTS, np.int64)
+        for key, rank in own.rank_of.items():
+            at = self._slot(key)
+            while self.key[at] >= 0:
+                at = (at + 1) % self.SLOTS
+            self.key[at], self.rank[at] = key, rank
+        self.made = np.array(own.made, np.int64)
+        self.inner, self.last = np.array(own.inner, np.int64), np.array(own.last, np.int64)
+
+    def _slot(self, key):
+        return ((key * 0x9E3779B1) >> 13) % self.SLOTS
+
+    def ranks(self, key: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or a number above all ranks."""
+        out = np.full(len(key), len(self.made), np.int64)
+        left, at = np.arange(len(key)), self._slot(key)
+        while len(left):
+            found = self.key[at]
+            same = found == key[left]
+            out[left[same]] = self.rank[at[same]]
+            on = (found >= 0) & ~same
+            left, at = left[on], (at[on] + 1) % self.SLOTS
+        return out
+
+
+def merge_together(own: Codec, pieces: list[bytes]) -> list[bytes]:
+    """Packed ids of many pieces at once: in each step every unfinished piece merges the
+    pair of its least rank, wherever it stands, from left to right.  (A pair that a merge
+    creates always has a greater rank, so this is the order of the queue.)"""
+    table = worker_state(f"merges:{id(own)}", lambda: MergeTable(own))
+    if not pieces:
+        return []
+    sizes = np.array([len(p) for p in pieces])
+    ids = table.inner[np.frombuffer(b"".join(pieces), np.uint8)]
+    ends = np.cumsum(sizes)
+    ids[ends - 1] = table.last[np.frombuffer(b"".join([p[-1:] for p in pieces]), np.uint8)]
+    word, none = np.repeat(np.arange(len(pieces)), sizes), len(table.made)
+    done_ids, done_word = [], []
+    while len(ids):
+        rank = np.full(len(ids), none)
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = table.ranks(ids[inside] << 20 | ids[inside + 1])
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        counts = np.diff(np.append(first, len(ids)))
+        best = np.repeat(np.minimum.reduceat(rank, first), counts)
+        over = best == none
+        done_ids.append(ids[over])
+        done_word.append(word[over])
+        hit = (rank == best) & ~over
+        # of neighbouring hits (a pair of equal symbols) every second one stands
+        at = np.flatnonzero(hit)
+        opens = np.concatenate(([True], np.diff(at) > 1))
+        place = np.arange(len(at)) - np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
+        at = at[place % 2 == 0]
+        ids[at] = table.made[rank[at]]
+        keep = ~over
+        keep[at + 1] = False
+        ids, word = ids[keep], word[keep]
+    ids, word = np.concatenate(done_ids), np.concatenate(done_word)
+    order = np.argsort(word, kind="stable")
+    packed = ids[order].astype("<u4").tobytes()
+    cuts = (4 * np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(pieces)))))).tolist()
+    return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def codec(path: str | None = None) -> Codec:
     """This worker's codec for the file."""
     return worker_state(f"bpe:{path}", lambda: Codec(path))

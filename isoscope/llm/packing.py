@@ -37,12 +37,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     """One row per piece; null text counts as empty (one piece, the end mark)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, mark = codec(path).encode, np.uint32(END_OF_DOCUMENT).tobytes()
+        encode, mark = codec(path).encode_all, np.uint32(END_OF_DOCUMENT).tobytes()
         for batch in batches:
             rows = []
-            ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for doc_id, text in zip(ids_of, texts, strict=True):
-                ids = encode(text or "") + mark
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids += mark
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
