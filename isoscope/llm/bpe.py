@@ -11,6 +11,7 @@ Its special tokens are matched in the raw text.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from isoscope.llm.arrays import extended, worker_state
 
 CACHE_PIECES = 400_000  # words and pieces a worker remembers; each memory then starts afresh
-GROUP_CHARS = 4_000_000  # texts whose new pieces are merged together
+GROUP_CHARS = 2_000_000  # texts whose new pieces are merged together
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -157,11 +158,17 @@ class Codec:
         """As `encode` for each text; the new pieces of some million characters are
         merged together."""
         out, first, size = [], 0, 0
-        for i, text in enumerate(texts, 1):
-            size += len(text)
-            if size >= GROUP_CHARS or i == len(texts):
-                out += self._encode_group(texts[first:i])
-                first, size = i, 0
+        collecting = gc.isenabled()
+        gc.disable()  # a group makes many small objects and no cycles
+        try:
+            for i, text in enumerate(texts, 1):
+                size += len(text)
+                if size >= GROUP_CHARS or i == len(texts):
+                    out += self._encode_group(texts[first:i])
+                    first, size = i, 0
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
@@ -169,15 +176,19 @@ class Codec:
         seen = set().union(*(c for c in chunks if c is not None))
         if len(self.known) + len(seen) > CACHE_PIECES:
             self.known.clear()  # nothing below clears it before this group is packed
-        new = [w for w in seen.difference(self.known) if w.isprintable()]
-        cut = [[p.encode() for p in self.pieces(w)] for w in new]
-        pieces = {p for own in cut for p in own}
+        fresh = seen.difference(self.known)
+        letters = [w for w in fresh if w.isalpha()]  # a piece as it is
+        whole = [w.encode() for w in letters]
+        mixed = [w for w in fresh if not w.isalpha() and w.isprintable()]
+        cut = [[p.encode() for p in self.pieces(w)] for w in mixed]
+        pieces = {p for own in cut for p in own}.union(whole)
         if len(self.known_pieces) + len(pieces) > CACHE_PIECES:
             self.known_pieces.clear()
         known = self.known_pieces
         unknown = list(pieces.difference(known))
         known |= zip(unknown, merge_together(self, unknown), strict=True)
-        self.known |= zip(new, [b"".join([known[p] for p in own]) for own in cut], strict=True)
+        self.known |= zip(letters, [known[p] for p in whole], strict=True)
+        self.known |= zip(mixed, [b"".join([known[p] for p in own]) for own in cut], strict=True)
         for word in seen.difference(self.known):
             self._word(word)
         of = self.known.__getitem__
