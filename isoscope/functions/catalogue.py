@@ -66,7 +66,10 @@ RAW_HEADERS = {
     "inc_level_2": ["IncLevel2"],
     "inc_level_difference": ["IncLevelDifference"],
 }
-NULL_TOKENS = ["NA", "nan", ""]
+NULL_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 LONG_COLUMNS = [
     "exon_start", "exon_end", "upstream_es", "upstream_ee", "downstream_es", "downstream_ee",

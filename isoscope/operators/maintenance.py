@@ -65,7 +65,7 @@ def without_analysis(
     """Every table without an analysis and what hangs on it."""
     gone_events = events.where(F.col("analysis_id") == analysis_id).select("event_id")
     gone_deep = deep_analyses.where(F.col("analysis_id") == analysis_id).select("deep_analysis_id")
-    other = F.col("analysis_id") != analysis_id
+    other = ~F.col("analysis_id").eqNullSafe(analysis_id)
     return {
         "tags": tags.join(gone_deep, "deep_analysis_id", "left_anti"),
         "features": features.join(gone_events, "event_id", "left_anti"),
@@ -77,5 +77,5 @@ def without_analysis(
 def without_deep_analysis(
     deep_analysis_id: str, deep_analyses: DataFrame, tags: DataFrame
 ) -> dict[str, DataFrame]:
-    other = F.col("deep_analysis_id") != deep_analysis_id
+    other = ~F.col("deep_analysis_id").eqNullSafe(deep_analysis_id)
     return {"deep_analyses": deep_analyses.where(other), "tags": tags.where(other)}

@@ -85,8 +85,8 @@ def _event_tests(iterations: int, seed: int, max_splits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}  # split matrices by design
         for batch in batches:
-            sizes = batch[["n1", "n2"]].apply(tuple, axis=1)
-            for (n1, n2), rows in batch.groupby(sizes, sort=False):
+            for (n1, n2), rows in batch.groupby(["n1", "n2"], sort=False):
+                n1, n2 = int(n1), int(n2)
                 # bound the working set: rows x splits x slots
                 splits = min(math.comb(n1 + n2, n1), max(max_splits, iterations))
                 if math.comb(n1 + n2, n1) > max_splits:

@@ -90,17 +90,30 @@ CARD_ORDERS = {
 }
 
 
+def _card_columns(key: str) -> list[Column]:
+    return [*CARD_ORDERS[key](), F.coalesce("gene_symbol", F.lit("")), F.col("event_id")]
+
+
 def card_order(events: DataFrame, key: str) -> DataFrame:
     """Display order of event cards; ties by symbol, then id.  `panel` needs a
     `panel_level` column."""
-    return events.orderBy(
-        *CARD_ORDERS[key](), F.coalesce("gene_symbol", F.lit("")), "event_id")
+    return events.orderBy(*_card_columns(key))
+
+
+def card_positions(events: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """All cards with their 1-based place in display order."""
+    return row_numbers(events, _card_columns(key), name)
 
 
 def newest_first(records: DataFrame, key: str = "id") -> DataFrame:
     return records.orderBy(F.desc_nulls_last("created_at"), key)
 
 
+def newest_positions(records: DataFrame, key: str = "id", name: str = "position") -> DataFrame:
+    """All records with their 1-based place, newest first."""
+    return row_numbers(records, [F.desc_nulls_last("created_at"), F.col(key)], name)
+
+
 def top_permutation(results: DataFrame, n: int = 15) -> DataFrame:
     return results.where("empirical_p_value IS NOT NULL").orderBy(
         "empirical_p_value", "event_id").limit(n)
@@ -117,22 +130,22 @@ def in_genome_order(events: DataFrame) -> DataFrame:
 
 
 def plot_set(events: DataFrame, max_points: int = PLOT_MAX_POINTS) -> DataFrame:
-    """Points of the genome plot: everything while it fits, else every significant
-    event plus every N-th other one along the genome.  N is rounded down, so the
-    budget may be exceeded."""
+    """Points of the genome plot, in genome order: everything while it fits, else every
+    significant event plus every N-th other one along the genome.  N is rounded down, so
+    the budget may be exceeded."""
     placed = events.where(F.col("chr").isNotNull() & F.col("exon_start").isNotNull()).select(
         *PLOT_COLUMNS)
     strong = F.coalesce(F.col("fdr") < PLOT_FDR, F.lit(False))
     n = placed.agg(F.count(F.lit(1)).alias("all"), F.count_if(strong).alias("strong")).first()
     if n["all"] <= max_points:
-        return placed
+        return in_genome_order(placed)
     budget = max(0, max_points - n["strong"])
     if budget == 0:
-        return placed.where(strong)
+        return in_genome_order(placed.where(strong))
     step = max(1, (n["all"] - n["strong"]) // budget)
     numbered = row_numbers(placed.where(~strong), genome_order(), "_rn")
-    return placed.where(strong).unionByName(
-        numbered.where(F.col("_rn") % step == 0).drop("_rn"))
+    return in_genome_order(placed.where(strong).unionByName(
+        numbered.where(F.col("_rn") % step == 0).drop("_rn")))
 
 
 def chromosome_offsets(points: DataFrame) -> DataFrame:

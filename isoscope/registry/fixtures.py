@@ -79,9 +79,7 @@ def _split(select: str) -> list[str]:
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
-    """The given file is one input split; spread its rows over all cores."""
-    table = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
-    return table.repartition(spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

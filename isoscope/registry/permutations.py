@@ -9,6 +9,13 @@ from isoscope.operators import ranking
 from isoscope.registry import fixtures as fx
 
 R = fx.Registry()
+
+
+def _all_bins(counted: str) -> str:
+    """Every one of the 40 bins, the empty ones too."""
+    return f"SELECT cast(b.bin AS integer) AS bin, coalesce(x.n, 0) AS n FROM (SELECT unnest(range(40)) AS bin) b LEFT JOIN ({counted}) x ON b.bin = x.bin"
+
+
 query = R.query
 
 # every split of 5 or 6 slots as a bit mask; integers, so that equal splits tie
@@ -55,14 +62,14 @@ def h3(spark, sf):
         F.array_join(F.transform("event_hist", lambda v: v.cast("string")), ",").alias("event_hist"))
 
 
-@query("h4_null_histogram", _NULLS + "SELECT cast(least(39, greatest(0, (d + n1 * n2 * 1000) * 40 // (2 * n1 * n2 * 1000))) AS integer) AS bin, count(*) AS n FROM nulls GROUP BY 1")
+@query("h4_null_histogram", _NULLS + _all_bins("SELECT cast(least(39, greatest(0, (d + n1 * n2 * 1000) * 40 // (2 * n1 * n2 * 1000))) AS integer) AS bin, count(*) AS n FROM nulls GROUP BY 1"))
 def h4(spark, sf):
-    return pm.null_histogram(_results(spark, sf)).where("n > 0").select("bin", "n")
+    return pm.null_histogram(_results(spark, sf)).select("bin", "n")
 
 
-@query("h4_observed_histogram", _NULLS + f"SELECT cast(least(greatest(floor(({_RAW} + 1.0) / 0.05), 0), 39) AS integer) AS bin, count(*) AS n FROM pools GROUP BY 1")
+@query("h4_observed_histogram", _NULLS + _all_bins(f"SELECT cast(least(greatest(floor(({_RAW} + 1.0) / 0.05), 0), 39) AS integer) AS bin, count(*) AS n FROM pools GROUP BY 1"))
 def h4_observed(spark, sf):
-    return pm.observed_histogram(_results(spark, sf)).where("n > 0").select("bin", "n")
+    return pm.observed_histogram(_results(spark, sf)).select("bin", "n")
 
 
 _SUMMARY = """count(*) AS n_events_tested, round(count(*) FILTER (WHERE round(p, 4) < 0.05) * 100.0 / count(*), 1) AS pct_p05,
@@ -121,11 +128,11 @@ def h9(spark, sf):
     return pm.shares(pm.significant_view(_results(spark, sf), ev, fx.significant()))
 
 
-@query("h9_significant_histogram", _NULLS + f"SELECT cast(least(greatest(floor((round({_RAW}, 4) + 1.0) / 0.05), 0), 39) AS integer) AS bin, count(*) AS n FROM pools JOIN se USING (event_id) WHERE sig GROUP BY 1".replace("coalesce(inc_level_difference,", "coalesce(pools.inc_level_difference,"))
+@query("h9_significant_histogram", _NULLS + _all_bins(f"SELECT cast(least(greatest(floor((round({_RAW}, 4) + 1.0) / 0.05), 0), 39) AS integer) AS bin, count(*) AS n FROM pools JOIN se USING (event_id) WHERE sig GROUP BY 1".replace("coalesce(inc_level_difference,", "coalesce(pools.inc_level_difference,")))
 def h9_hist(spark, sf):
     ev = fx.events(spark, sf)
     kept = pm.significant_view(_results(spark, sf), ev, fx.significant())
-    return pm.observed_histogram(kept, "observed_delta_psi").where("n > 0").select("bin", "n")
+    return pm.observed_histogram(kept, "observed_delta_psi").select("bin", "n")
 
 
 @query("h10_convergence_table", _NULLS + f"SELECT cast(500 AS integer) AS iterations, 'exact enumeration (all label permutations)' AS label, {_SUMMARY}, cast(3 AS integer) AS n_replicates_g1, cast(3 AS integer) AS n_replicates_g2, round(1.0 / 20, 9) AS min_p_attainable FROM perm JOIN se USING (event_id) WHERE sig")

@@ -57,7 +57,8 @@ def i3(spark, sf):
 @query("i3_small_plot_set", "SELECT event_id, chr, exon_start, fdr FROM splice_events WHERE event_type = 'RI'")
 def i3_small(spark, sf):
     rows = fx.events(spark, sf).where("event_type = 'RI'")
-    return rk.plot_set(rows).select("event_id", "chr", "exon_start", "fdr")
+    # a budget that holds all rows at any scale
+    return rk.plot_set(rows, rows.count()).select("event_id", "chr", "exon_start", "fdr")
 
 
 @query("i4_genome_order", f"SELECT event_id, row_number() OVER (ORDER BY {_RANK}, exon_start, event_id) AS rn FROM splice_events")
@@ -112,20 +113,20 @@ _CARD_SQL = {
 
 
 def _card(key: str) -> None:
-    @query(f"i8_card_order_{key}", f", cards AS (SELECT *, event_id % 4 AS panel_level FROM splice_events) SELECT event_id, gene_symbol FROM cards ORDER BY {_CARD_SQL[key]}, gene_symbol, event_id LIMIT 200")
+    @query(f"i8_card_order_{key}", f", cards AS (SELECT *, event_id % 4 AS panel_level FROM splice_events) SELECT event_id, gene_symbol, row_number() OVER (ORDER BY {_CARD_SQL[key]}, gene_symbol, event_id) AS position FROM cards")
     def run(spark, sf):
         ev = fx.events(spark, sf).withColumn("panel_level", F.col("event_id") % 4)
-        return rk.card_order(ev, key).limit(200).select("event_id", "gene_symbol")
+        return rk.card_positions(ev, key).select("event_id", "gene_symbol", "position")
 
 
 for _key in _CARD_SQL:
     _card(_key)
 
 
-@query("i15_newest_first", "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100", prefix=False)
+@query("i15_newest_first", "SELECT o_orderkey AS id, o_orderdate AS created_at, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS position FROM orders", prefix=False)
 def i15(spark, sf):
     records = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
         "o_orderkey AS id", "o_orderdate AS created_at")
-    return rk.newest_first(records).limit(100)
+    return rk.newest_positions(records)
 
 

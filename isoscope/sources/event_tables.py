@@ -130,8 +130,11 @@ def renamed(cells: DataFrame) -> DataFrame:
 
 
 def as_integer(cell: Column, kind: str) -> Column:
-    """Whole numbers; `12.0` counts as 12, anything else unparseable as null."""
-    return F.coalesce(cell.try_cast(kind), cell.try_cast("double").try_cast(kind))
+    """Whole numbers; `12.0` counts as 12, a fraction or anything else as null."""
+    number = cell.try_cast("double")
+    whole = F.when(number == F.floor(number), number)
+    return F.when(cell.rlike(r"^\s*[+-]?\d+\s*$"), cell.try_cast(kind)).otherwise(
+        whole.try_cast(kind))
 
 
 def as_double(cell: Column) -> Column:
