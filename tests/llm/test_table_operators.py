@@ -292,6 +292,37 @@ def test_near_classes_against_all_pairs(spark):
     assert got == brute_classes(plain(docs))
 
 
+def test_families_of_variants_near_the_threshold(spark):
+    """Variants of a few texts whose similarities spread around the threshold: many meet
+    in buckets whose least and largest document are in other classes."""
+    rng, rows = np.random.default_rng(5), []
+    for _ in range(4):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 240)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.choice(240, rng.integers(2, 9), replace=False):
+                words[at] = f"v{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))],
+                                 "doc_id bigint, text string")
+    want = brute_classes(rows)
+    assert 4 < len(set(want.values())) < len(rows)
+    assert {r["doc_id"]: r["class_id"] for r in darts.classes(docs).collect()} == want
+
+
+def test_open_pairs_are_all_pairs_between_classes_of_a_bucket(spark):
+    label = {1: 1, 2: 1, 4: 4, 5: 4, 7: 1}  # 3 and 6 have no link yet
+    buckets = {10: [1, 2, 3, 4, 5], 11: [1, 2, 7], 12: [3, 6], 13: [2, 3]}
+    shared = spark.createDataFrame(
+        [(k, d, min(ds), max(ds)) for k, ds in buckets.items() for d in ds],
+        "key bigint, doc_id bigint, lo bigint, hi bigint")
+    found = darts.open_pairs(shared, spark.createDataFrame(list(label.items()), "id bigint, label bigint"))
+    got = sorted(tuple(r) for r in found.select("a", "b").collect())
+    of = lambda d: label.get(d, d)
+    assert got == sorted({(a, b) for ds in buckets.values() for a in ds for b in ds
+                          if a > b and of(a) != of(b)})
+
+
 def test_near_classes_on_odd_rows(odd, empty):
     got = darts.classes(odd).collect()
     assert len(got) == odd.count()
