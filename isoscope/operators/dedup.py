@@ -9,17 +9,17 @@ then event id.  A row is dropped when a row ALREADY KEPT is near it:
 * A3SS / A5SS (and unknown types): exactly equal coordinates.
 
 A row suppressed by a suppressed row stays, so neither a pairwise anti-join nor
-connected components would be right.  How it scales:
-
-1. Rows with equal compared coordinates have equal neighbours, so only the best
-   of them can survive: `row_number() = 1`, which Spark limits before the shuffle.
-   This alone is the whole rule for A3SS / A5SS.
-2. Groups of ordinary size go through one narrow shuffle and a streaming pass
-   whose state is the kept cells of the current group.
-3. Groups above `local_rows` (one gene may hold a third of the data) are never
-   gathered: they are solved in rounds of equi-joins on coordinate cells.  Two
-   rows of one cell are always near, so a cell offers one candidate per round and
-   every row meets at most 3^d candidates.  The rounds give the same answer.
+connected components would be right.  One path for every size:
+
+1. Only ids, coordinates and priority are read.  Rows with equal compared coordinates
+   have equal neighbours, so only the best of them can survive: `row_number() = 1`,
+   which Spark limits before the shuffle.  This alone decides A3SS / A5SS.
+2. A group falls into islands that no near pair can bridge: runs of touching cells of
+   bp + 1 bases, found on the distinct cells of a group (at most chromosome length /
+   bp of them, however many rows there are).
+3. Each island is a short streaming pass in priority order.  Its state is the kept
+   cells: at most one row per cell, so it is bounded by the island's length as well.
+4. The kept ids go back to the whole rows in one join.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +40,6 @@ GROUP = ["event_type", "gene_id", "chr", "strand"]
 BOUNDS = ["b0", "b1", "b2", "b3"]
 # boundary sets per type: near when ANY set has ALL its boundaries within bp
 NEAR_RULES = {"SE": [[0], [1]], "RI": [[0, 1]], "MXE": [[0, 1, 2, 3]]}
-LOCAL_ROWS = 200_000
 
 
 def priority() -> list[Column]:
@@ -91,29 +91,51 @@ def _incomparable() -> Column:
 
 
 def best_of_equal(events: DataFrame) -> DataFrame:
-    """Step 1: the best row of every set with equal compared coordinates."""
-    w = Window.partitionBy(*GROUP, "_coords").orderBy(*priority())
-    comparable = events.where(~_incomparable()).withColumn("_coords", compared_coordinates())
-    first = comparable.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return first.drop("_n", "_coords")
-
-
-def _narrow(events: DataFrame) -> DataFrame:
+    """Step 1: id, group, boundaries and priority of the best row of every set with
+    equal compared coordinates."""
     two = F.col("event_type") == "MXE"
-    return events.where(F.col("event_type").isin(*NEAR_RULES)).select(
-        _group_key().alias("gk"), "event_type", _priority_key().alias("prio"),
+    narrow = events.where(~_incomparable()).select(
+        "event_id", "event_type", _group_key().alias("gk"), compared_coordinates().alias("coords"),
         F.col("exon_start").alias("b0"), F.col("exon_end").alias("b1"),
         F.when(two, F.col("second_exon_start")).alias("b2"),
         F.when(two, F.col("second_exon_end")).alias("b3"),
+        _priority_key().alias("prio"),
     )
+    w = Window.partitionBy("gk", "coords").orderBy("prio")
+    return narrow.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "coords")
+
 
+def with_islands(rows: DataFrame, bp: int) -> DataFrame:
+    """Step 2: adds `lo`, the first cell of a row, and its `island`.
+
+    Near rows share or touch a cell of their reach: from start to end for SE, where
+    either boundary may be near, and the start alone for RI and MXE.
+    """
+    cell = lambda c: F.floor(c / (bp + 1))
+    low, high = F.least("b0", "b1"), F.greatest("b0", "b1")  # of the known boundaries
+    either = F.col("event_type") == "SE"
+    placed = rows.withColumns({
+        "lo": cell(F.when(either, low).otherwise(F.col("b0"))),
+        "hi": cell(F.when(either, high).otherwise(F.col("b0"))),
+    })
+    reach = placed.groupBy("gk", "lo").agg(F.max("hi").alias("hi"))
+    order = Window.partitionBy("gk").orderBy("lo")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    islands = (
+        reach.withColumn("before", F.max("hi").over(earlier))
+        .withColumn("new", F.coalesce(F.col("lo") > F.col("before") + 1, F.lit(True)).cast("int"))
+        .select("gk", "lo", F.sum("new").over(order).alias("island"))
+    )
+    return placed.drop("hi").join(islands, ["gk", "lo"])
 
-# -- step 2: groups of ordinary size ------------------------------------------------
+
+# -- step 3 -------------------------------------------------------------------------
 def _greedy_pass(bp: int):
-    """Streaming pass over rows sorted by (group, priority).
+    """Streaming pass over rows sorted by (group, island, priority).
 
     Cells are bp + 1 wide, so a cell can hold one kept row per boundary set, and
-    any near kept row lies in an adjacent cell.
+    any near kept row lies in an adjacent cell.  A row alone in its island is kept
+    without looking further.
     """
     width = bp + 1
 
@@ -128,143 +150,71 @@ def _greedy_pass(bp: int):
         return False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, []
+        island, kept = None, []
         for batch in batches:
-            ids = []
-            rows = zip(
-                batch["gk"], batch["event_type"], batch["event_id"],
-                *[batch[b].astype("object").where(batch[b].notna(), None) for b in BOUNDS],
-                strict=True,
-            )
-            for gk, kind, event_id, *bounds in rows:
+            if batch.empty:
+                continue
+            place = list(zip(batch["gk"], batch["island"], strict=True))
+            keep = np.ones(len(batch), bool)
+            starts = np.ones(len(batch) + 1, bool)
+            starts[1:-1] = [x != y for x, y in zip(place, place[1:], strict=False)]
+            starts[0] = place[0] != island
+            # the last island of a batch may go on in the next one
+            alone = starts[:-1] & starts[1:]
+            alone[-1] = False
+            rows = np.flatnonzero(~alone)
+            part = batch.iloc[rows]
+            bounds = [part[b].astype("object").where(part[b].notna(), None) for b in BOUNDS]
+            for at, kind, *values in zip(rows, part["event_type"], *bounds, strict=True):
                 rules = NEAR_RULES[kind]
-                if gk != group:
-                    group, kept = gk, [{} for _ in rules]
+                if starts[at]:
+                    kept = [{} for _ in rules]
                 keys = [
-                    None if any(bounds[i] is None for i in rule)
-                    else tuple(int(bounds[i]) for i in rule)
+                    None if any(values[i] is None for i in rule)
+                    else tuple(int(values[i]) for i in rule)
                     for rule in rules
                 ]
                 if any(k is not None and near_kept(s, k)
                        for k, s in zip(keys, kept, strict=True)):
+                    keep[at] = False
                     continue
                 for k, seen in zip(keys, kept, strict=True):
                     if k is not None:
                         seen[tuple(v // width for v in k)] = k
-                ids.append(event_id)
-            if ids:
-                yield pd.DataFrame({"event_id": ids})
+            island = place[-1]
+            yield batch.loc[keep, ["event_id"]]
 
     return run
 
 
-def _kept_in_ordinary_groups(narrow: DataFrame, bp: int, id_type: str) -> DataFrame:
-    flat = narrow.select("gk", "event_type", F.col("prio.id").alias("event_id"), *BOUNDS, "prio")
-    ordered = flat.repartition("gk").sortWithinPartitions("gk", "prio").drop("prio")
-    return ordered.mapInPandas(_greedy_pass(bp), f"event_id {id_type}")
-
-
-# -- step 3: hot groups ---------------------------------------------------------------
-def _cell(rule: list[int], bp: int) -> Column:
-    parts = [F.floor(F.col(BOUNDS[i]) / (bp + 1)) for i in rule]
-    known = reduce(lambda a, b: a & b, [F.col(BOUNDS[i]).isNotNull() for i in rule])
-    return F.when(known, F.array(*parts))
-
-
-def _around(rule: list[int]) -> Column:
-    """The 3^d cells around `cell`."""
-    return F.array(*[
-        F.array(*[F.col("cell")[i] + s for i, s in enumerate(shift)])
-        for shift in product((-1, 0, 1), repeat=len(rule))
-    ])
-
-
-def _near(rule: list[int], bp: int, other: Column) -> Column:
-    return reduce(
-        lambda a, b: a & b,
-        [F.abs(other[BOUNDS[i]] - F.col(BOUNDS[i])) <= bp for i in rule],
-    )
-
-
-def _met(rows: DataFrame, chosen: DataFrame, rule: list[int], bp: int) -> DataFrame:
-    """Rows with the chosen rows near them (at most 3^d) as array `near`."""
-    spread = (
-        chosen.withColumn("cell", _cell(rule, bp)).where("cell IS NOT NULL")
-        .select("gk", F.struct("prio", *BOUNDS).alias("c"), F.explode(_around(rule)).alias("cell"))
-        .groupBy("gk", "cell").agg(F.collect_list("c").alias("cs"))
-    )
+def kept_ids(reduced: DataFrame, bp: int = NEAR_BP) -> DataFrame:
+    """Ids surviving the near rules among the SE, RI and MXE rows of step 1."""
+    id_type = reduced.schema["event_id"].dataType.simpleString()
+    near = reduced.where(F.col("event_type").isin(*NEAR_RULES))
     return (
-        rows.withColumn("cell", _cell(rule, bp)).join(spread, ["gk", "cell"])
-        .withColumn("near", F.filter(
-            "cs", lambda c: _near(rule, bp, c) & (c["prio"]["id"] != F.col("prio.id"))))
-        .where(F.size("near") > 0)
+        with_islands(near, bp).repartition("gk", "island")
+        .sortWithinPartitions("gk", "island", "prio")
+        .select("gk", "island", "event_type", "event_id", *BOUNDS)
+        .mapInPandas(_greedy_pass(bp), f"event_id {id_type}")
     )
 
 
-def _solve_rounds(hot: DataFrame, kind: str, bp: int) -> DataFrame:
-    """Kept ids of hot groups of one type."""
-    rules = NEAR_RULES[kind]
-    open_rows, kept = hot, []
-    while not open_rows.isEmpty():
-        # a candidate is the best open row of each of its cells
-        cand = open_rows
-        for n, rule in enumerate(rules):
-            best = (
-                open_rows.withColumn("cell", _cell(rule, bp)).where("cell IS NOT NULL")
-                .groupBy("gk", "cell").agg(F.min("prio").alias("top"))
-                .select(F.col("top.id").alias("top_id"), F.lit(True).alias(f"best{n}"))
-            )
-            cand = cand.join(best, F.col("prio.id") == F.col("top_id"), "left").drop("top_id")
-        for n, rule in enumerate(rules):
-            cand = cand.where(F.col(f"best{n}") | _cell(rule, bp).isNull()).drop(f"best{n}")
-        cand = materialize(cand, "dedup-candidates")
-        # blocked when a better open row is near it
-        blocked = reduce(DataFrame.unionByName, [
-            _met(open_rows, cand, rule, bp)
-            .select(F.explode(F.filter("near", lambda c: F.col("prio") < c["prio"])).alias("c"))
-            .select(F.col("c.prio.id").alias("id"))
-            for rule in rules
-        ]).distinct()
-        won = materialize(
-            cand.join(blocked, F.col("prio.id") == F.col("id"), "left_anti"), "dedup-kept")
-        beaten = reduce(DataFrame.unionByName, [
-            _met(open_rows, won, rule, bp).select(F.col("prio.id").alias("id"))
-            for rule in rules
-        ])
-        done = won.select(F.col("prio.id").alias("id")).unionByName(beaten)
-        open_rows = materialize(
-            open_rows.join(done, F.col("prio.id") == F.col("id"), "left_anti"), "dedup-open")
-        kept.append(won.select(F.col("prio.id").alias("event_id")))
-    return reduce(DataFrame.unionByName, kept)
-
-
-def kept_ids(reduced: DataFrame, bp: int = NEAR_BP, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Ids surviving the near rules among SE, RI and MXE rows (steps 2 and 3)."""
-    id_type = reduced.schema["event_id"].dataType.simpleString()
-    narrow = materialize(_narrow(reduced), "dedup-narrow")
-    sizes = narrow.groupBy("gk", "event_type").count().where(F.col("count") > local_rows)
-    hot_kinds = [r["event_type"] for r in sizes.select("event_type").distinct().collect()]
-    if not hot_kinds:
-        return _kept_in_ordinary_groups(narrow, bp, id_type)
-    hot_keys = sizes.select("gk")
-    parts = [_kept_in_ordinary_groups(narrow.join(hot_keys, "gk", "left_anti"), bp, id_type)]
-    hot = materialize(narrow.join(hot_keys, "gk", "left_semi"), "dedup-hot")
-    parts += [_solve_rounds(hot.where(F.col("event_type") == k), k, bp) for k in hot_kinds]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def deduplicate(
-    events: DataFrame, bp: int = NEAR_BP, local_rows: int = LOCAL_ROWS
-) -> DataFrame:
-    """All rules together; same columns out as in."""
-    reduced = best_of_equal(events)
-    near = F.col("event_type").isin(*NEAR_RULES)
-    survivors = reduced.where(near).join(kept_ids(reduced, bp, local_rows), "event_id", "left_semi")
-    exact = reduced.where(~F.coalesce(near, F.lit(False)))
+def deduplicate(events: DataFrame, bp: int = NEAR_BP) -> DataFrame:
+    """All rules together; same columns out as in.
+
+    Of comparable rows with one event id the best is kept; incomparable rows stay all.
+    """
+    reduced = materialize(best_of_equal(events), "dedup-best")
+    exact = reduced.where(~F.coalesce(F.col("event_type").isin(*NEAR_RULES), F.lit(False)))
+    ids = kept_ids(reduced, bp).unionByName(exact.select("event_id")).withColumn(
+        "_kept", F.lit(True)).dropDuplicates(["event_id"])
+    # the window uses the partitioning of the join
+    first = Window.partitionBy("event_id", "_free").orderBy(*priority())
     return (
-        survivors.select(events.columns)
-        .unionByName(exact.select(events.columns))
-        .unionByName(events.where(_incomparable()))
+        events.withColumn("_free", _incomparable()).join(ids, "event_id", "left")
+        .where("_free OR _kept")
+        .withColumn("_n", F.row_number().over(first)).where("_free OR _n = 1")
+        .select(events.columns)
     )
 
 
