@@ -3,7 +3,8 @@
 A text is scanned by the base rules; then every encoded run in it (percent escapes,
 Unicode escapes, base64, and compressed data inside base64) is unwrapped into a layer
 of its own, which is scanned and searched for encoded runs in turn, until no new layer
-appears.  Layers already seen in the text are not entered again, so self-reproducing
+appears.  Base64 may go on over line ends, and compressed data may be compressed again or
+have several members.  Layers already seen in the text are not entered again, so self-reproducing
 data ends.  A layer keeps, for each of its characters, the span of the original text it
 came from, so every finding is reported in code points of the original text.
 """
@@ -41,7 +42,11 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-LAYER_LIMIT = 1 << 26  # characters; a larger layer is reported as `oversize`, not entered
+# a run that goes on over line ends (the lookbehind keeps the search linear)
+WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+ONE_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+LAYER_LIMIT = 1 << 26  # bytes; a larger layer is reported as `oversize`, not entered
 
 
 class Span(NamedTuple):
@@ -78,22 +83,55 @@ def _readable(data: bytes) -> str | None:
     return text if text and control * 20 <= len(text) else None
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """Inflated data of a gzip, zlib, bzip2 or xz stream, cut off just past the limit."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, LAYER_LIMIT + 1)
-        if data[:1] == b"\x78":
-            return zlib.decompressobj().decompress(data, LAYER_LIMIT + 1)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, LAYER_LIMIT + 1)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=1 << 26).decompress(data, LAYER_LIMIT + 1)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        pass
+def _inflater(data: bytes):
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78":
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=1 << 26)
     return None
 
 
+def _unpacked(data: bytes) -> bytes | None:
+    """Inflated data of all members of a gzip, zlib, bzip2 or xz stream, cut off just
+    past the limit; None if there is no such stream."""
+    out, size = [], 0
+    while size <= LAYER_LIMIT:
+        stream = _inflater(data)
+        if stream is None:
+            break
+        try:
+            out.append(stream.decompress(data, LAYER_LIMIT + 1 - size))
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            break
+        size += len(out[-1])
+        if not stream.eof:
+            break
+        data = stream.unused_data.lstrip(b"\0")  # padding may stand between members
+    return b"".join(out) or None
+
+
+def _innermost(data: bytes) -> bytes | None:
+    """What is left when no compressed stream is left to inflate; None if `data` is none
+    or brings itself forth.  More than the limit is given back as it is."""
+    inflated, seen = _unpacked(data), set()
+    if inflated is None:
+        return None
+    while len(inflated) <= LAYER_LIMIT and _readable(inflated) is None:
+        digest = hashlib.sha256(inflated).digest()
+        if digest in seen:
+            return None
+        seen.add(digest)
+        deeper = _unpacked(inflated)
+        if deeper is None:
+            break
+        inflated = deeper
+    return inflated
+
+
 def _spelled_out(layer: Layer, runs: re.Pattern, decode) -> Layer | None:
     """The layer with every encoded run replaced by its text, or None if none decodes.
     The rest stays, so a finding may reach from plain into decoded text.  `decode` gives
@@ -153,8 +191,10 @@ def _by_characters(text: str, start: list[int], end: list[int]) -> Layer:
     return Layer(text, first, last)
 
 
-def _base64(layer: Layer, a: int, b: int) -> list[Layer]:
-    run = layer.text[a:b].rstrip("=")
+def _base64(layer: Layer, at: range | list[int]) -> list[Layer]:
+    """The layer behind the characters at the given places."""
+    run = "".join([layer.text[i] for i in at]) if isinstance(at, list) else layer.text[at.start:at.stop]
+    run = run.rstrip("=")
     run = run[:len(run) - (len(run) % 4 == 1)]
     try:
         data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
@@ -163,15 +203,35 @@ def _base64(layer: Layer, a: int, b: int) -> list[Layer]:
     text = _readable(data)
     if text is not None:
         # three bytes come from four characters
-        start = [layer.start[a + i // 3 * 4 + i % 3] for i in range(len(data))]
-        end = [layer.end[min(a + i // 3 * 4 + i % 3 + 1, b - 1)] for i in range(len(data))]
+        start = [layer.start[at[i // 3 * 4 + i % 3]] for i in range(len(data))]
+        end = [layer.end[at[min(i // 3 * 4 + i % 3 + 1, len(at) - 1)]] for i in range(len(data))]
         return [_by_characters(text, start, end)]
-    inflated = _unpacked(data)
-    text = None if inflated is None else inflated.decode("utf-8", "replace")
-    if not text:
+    inflated = _innermost(data)
+    if not inflated:
         return []
-    return [Layer(text, [layer.start[a]] * len(text), [layer.end[b - 1]] * len(text))
-            if len(text) <= LAYER_LIMIT else Layer("", [layer.start[a]], [layer.end[b - 1]])]
+    start, end = layer.start[at[0]], layer.end[at[-1]]
+    if len(inflated) > LAYER_LIMIT:
+        return [Layer("", [start], [end])]
+    text = inflated.decode("utf-8", "replace")
+    return [Layer(text, [start] * len(text), [end] * len(text))]
+
+
+def _wrapped(layer: Layer, a: int, b: int) -> Iterator[list[int]]:
+    """Places of the characters of runs over several lines: all lines together, and each
+    block of equally long lines with and without the shorter line that ends it."""
+    lines = [range(*m.span()) for m in ONE_LINE.finditer(layer.text, a, b)]
+    places = lambda part: [i for line in part for i in line]
+    yield places(lines)
+    first = 0
+    while first < len(lines):
+        last = first + 1
+        while last < len(lines) and len(lines[last]) == len(lines[first]):
+            last += 1
+        if last - first > 1:
+            yield places(lines[first:last])
+        if last < len(lines) and len(lines[last]) < len(lines[first]):
+            yield places(lines[first:last + 1])
+        first = last
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
@@ -181,7 +241,11 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
             if inner is not None:
                 yield inner
     for m in BASE64.finditer(layer.text):
-        yield from _base64(layer, *m.span())
+        yield from _base64(layer, range(*m.span()))
+    if "\n" in layer.text:
+        for m in WRAPPED.finditer(layer.text):
+            for at in _wrapped(layer, *m.span()):
+                yield from _base64(layer, at)
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

@@ -1,8 +1,10 @@
 """Fingerprints, quality rules, BPE, packing and secrets against plain Python."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -283,6 +285,43 @@ def test_oversize_layers_are_reported(monkeypatch):
     assert [s.kind for s in secrets.all_spans(f"x {bomb}")[1]] == ["oversize"]
 
 
+NOISE = "".join(random.Random(3).choices("ghijklmnopqrstuvwxyz ", k=3000))
+
+
+@pytest.mark.parametrize("pack", [
+    lambda d: gzip.compress(gzip.compress(d)),
+    lambda d: lzma.compress(gzip.compress(bz2.compress(d))),
+    lambda d: gzip.compress(b"first member ") + gzip.compress(d),
+    lambda d: bz2.compress(b"first member ") + bz2.compress(d),
+    lambda d: lzma.compress(b"first member ") + bytes(4) + lzma.compress(d),
+])
+@pytest.mark.parametrize("line", [10_000_000, 76, 64])
+def test_nested_and_wrapped_streams(pack, line):
+    data = base64.b64encode(pack((NOISE + SECRET).encode())).decode()
+    lines = [data[i:i + line] for i in range(0, len(data), line)]
+    for end in ("\n", "\r\n"):
+        body = end.join(lines)
+        text = f"-----BEGIN CERTIFICATE-----{end}{body}{end}-----END CERTIFICATE-----"
+        a = text.index(body)
+        assert ("assign", a, a + len(body)) in secrets.all_spans(text)[1]
+        assert data[:16] not in secrets.masked(text)
+
+
+@pytest.mark.parametrize("lead", range(34, 57, 7))
+def test_secret_across_a_line_end(lead):
+    data = base64.encodebytes((NOISE[:lead] + SECRET + NOISE[:90]).encode()).decode()
+    text = "mail\n\n" + data
+    (span,) = [s for s in secrets.all_spans(text)[1] if s.kind == "assign" and "\n" in text[s.start:s.end]]
+    # three bytes stand behind four characters and 57 behind a line
+    source = lambda i: 6 + i // 57 * 77 + i % 57 // 3 * 4 + i % 3
+    assert span.start == source(lead) and span.end >= source(lead + len(SECRET) - 1)
+
+
+def test_self_like_streams_end(monkeypatch):
+    monkeypatch.setattr(secrets, "_unpacked", lambda data: b"\xff" + data[:0])
+    assert secrets.all_spans(base64.b64encode(b"\xff" * 30).decode())[1] == []
+
+
 def test_arrays_accept_sliced_batches():
     from isoscope.llm.arrays import blocks
 
