@@ -47,6 +47,11 @@ WRAPPED = re.compile(
     r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 ONE_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 LAYER_LIMIT = 1 << 26  # bytes; a larger layer is reported as `oversize`, not entered
+XZ_MEMORY = 1 << 27  # preset 9 needs 65 MiB; a stream that asks for more is `oversize` too
+
+
+class Refused(Exception):
+    """A stream that needs more memory than is allowed."""
 
 
 class Span(NamedTuple):
@@ -91,7 +96,7 @@ def _inflater(data: bytes):
     if data[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if data[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=1 << 26)
+        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
     return None
 
 
@@ -105,7 +110,11 @@ def _unpacked(data: bytes) -> bytes | None:
             break
         try:
             out.append(stream.decompress(data, LAYER_LIMIT + 1 - size))
-        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+        except lzma.LZMAError as error:
+            if "emory" in str(error):
+                raise Refused from error
+            break
+        except (zlib.error, OSError, ValueError, EOFError):
             break
         size += len(out[-1])
         if not stream.eof:
@@ -206,10 +215,13 @@ def _base64(layer: Layer, at: range | list[int]) -> list[Layer]:
         start = [layer.start[at[i // 3 * 4 + i % 3]] for i in range(len(data))]
         end = [layer.end[at[min(i // 3 * 4 + i % 3 + 1, len(at) - 1)]] for i in range(len(data))]
         return [_by_characters(text, start, end)]
-    inflated = _innermost(data)
+    start, end = layer.start[at[0]], layer.end[at[-1]]
+    try:
+        inflated = _innermost(data)
+    except Refused:
+        return [Layer("", [start], [end])]
     if not inflated:
         return []
-    start, end = layer.start[at[0]], layer.end[at[-1]]
     if len(inflated) > LAYER_LIMIT:
         return [Layer("", [start], [end])]
     text = inflated.decode("utf-8", "replace")

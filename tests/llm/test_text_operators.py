@@ -317,6 +317,20 @@ def test_secret_across_a_line_end(lead):
     assert span.start == source(lead) and span.end >= source(lead + len(SECRET) - 1)
 
 
+def test_xz_of_every_preset_and_refused_streams(monkeypatch):
+    for preset in (0, 6, 9, 9 | lzma.PRESET_EXTREME):
+        data = base64.b64encode(lzma.compress(SECRET.encode(), preset=preset)).decode()
+        assert ("assign", 2, 2 + len(data)) in secrets.all_spans(f"x {data}")[1]
+    huge = [{"id": lzma.FILTER_LZMA2, "preset": 0, "dict_size": 3 << 26}]
+    stream = lzma.LZMACompressor(filters=huge)
+    data = base64.b64encode(stream.compress(SECRET.encode()) + stream.flush()).decode()
+    assert [tuple(s) for s in secrets.all_spans(f"x {data}")[1]] == [("oversize", 2, 2 + len(data))]
+    # the limit counts bytes: a layer cut off in the middle is not taken for a whole one
+    monkeypatch.setattr(secrets, "LAYER_LIMIT", 1000)
+    data = base64.b64encode(gzip.compress(("é" * 600 + SECRET).encode())).decode()
+    assert [s.kind for s in secrets.all_spans(f"x {data}")[1]] == ["oversize"]
+
+
 def test_self_like_streams_end(monkeypatch):
     monkeypatch.setattr(secrets, "_unpacked", lambda data: b"\xff" + data[:0])
     assert secrets.all_spans(base64.b64encode(b"\xff" * 30).decode())[1] == []
