@@ -12,6 +12,7 @@ phrase says how a licence is granted or mentioned, and a rule is a phrase with a
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 # families: label, keyword of the prefilter, names as written (words only)
 FAMILIES = [
-    ("mit", "mit", r"mit|expat"),
+    ("mit", "t", r"mit|expat"),
     ("mit-0", "mit", r"mit 0|mit no attribution"),
     ("apache-1.1", "apache", r"apache (?:software )?(?:license )?(?:version |v)?1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?(?:license )?(?:version |v)?2(?: 0)?"),
@@ -102,8 +103,15 @@ PLAIN = [
     ("no-warranty", "warrant", r"without warrant(?:y|ies) of any kind", 20, 0.3),
     ("permissive-grant", "permission", r"permission is hereby granted free of charge", 55, 0.8),
 ]
-GATE = ["licen", "copyright", "spdx", "all rights reserved", "public domain", "proprietary",
-        "warrant", "permission", "under the"]
+# Single words, so that neither line ends nor hyphens between words matter.  Every rule needs
+# one of them, and with it one of the words of COMPANIONS where it has an entry.
+GATE = ["licen", "under", "subject", "copyright", "rights", "domain", "proprietary", "warrant",
+        "permission"]
+COMPANIONS = {
+    "under": ["released", "distributed", "available", "published", "provided", "terms"],
+    "rights": ["reserved"], "domain": ["public"], "proprietary": ["confidential"],
+    "warrant": ["without"], "permission": ["granted"],
+}
 
 
 class Rule(NamedTuple):
@@ -189,9 +197,11 @@ def detected(docs: DataFrame, text: str = "text", out: str = "licenses") -> Data
     word occurs; null text counts as empty."""
     body = F.coalesce(F.col(text), F.lit(""))
     lowered = F.lower(body)
-    gate = lowered.contains(GATE[0])
-    for word in GATE[1:]:
-        gate = gate | lowered.contains(word)
+    gate = F.lit(False)
+    for word in GATE:
+        beside = [lowered.contains(w) for w in COMPANIONS.get(word, [])]
+        has = lowered.contains(word)
+        gate = gate | (has & reduce(Column.__or__, beside) if beside else has)
     table = _rule_table(rules())
 
     def searched(words: Column) -> Column:

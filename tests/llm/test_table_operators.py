@@ -116,6 +116,25 @@ def test_licenses_against_plain_python(request, table, spark):
     assert got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("table", ["documents", "texts"])
+def test_no_rule_is_lost_at_the_gate(request, table, spark):
+    texts = ["all rights\nreserved", "all-rights-reserved", "given into the public-domain", "Released under MIT",
+             "released under\nthe Apache 2.0", "distributed\tunder GPL v3", "subject to the MPL 2.0",
+             "Available under: Boost", "under the\nterms of the ISC", "without\nwarranty of any kind",
+             "proprietary\nand confidential", "permission is hereby\ngranted free of charge",
+             "copyright 2020", "SPDX license\nidentifier X11", "spdx licence", "MIT-licence", "under the table",
+             "subject to change", "domain rights", "provided under WTFPL", "published under python",
+             "the expat license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string") \
+        if table == "texts" else request.getfixturevalue(table)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scanned(df).collect()}
+    for i, t in plain(df):
+        words, found = base_places(t)
+        own, score = kept_labels(words)
+        assert got[i] == (",".join(sorted(own | {x for _, x in found})), score), t[:80]
+    assert table != "texts" or sum(score > 0 for _, score in got.values()) == 18
+
+
 def test_rules_and_suppression(empty):
     assert len(licenses.rules()) > 200
     labels, score = kept_labels("released under the mit license".split())
