@@ -5,7 +5,8 @@ order, is its first or its last one.  The choice depends on the k-mer alone, so
 edit disturbs only the k-mers that touch it, and any run of 2k - s - 1 equal bytes
 holds the same anchors at the same relative positions.
 
-A text shorter than k bytes is a single anchor; an empty one (or null) has none.
+In a text of 2k - s bytes or more one is always chosen; of a shorter one (SURE) all k-mers
+are anchors.  A text shorter than k bytes is a single anchor; an empty one (or null) has none.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from isoscope.llm.arrays import Block, U, blocks, extended, mix, sliding_min, span_hashes
 
 K, S = 32, 8
+SURE = 2 * K - S - 1  # bytes from which on a text has a closed syncmer
 BUCKETS_PER_PARTITION = 4
 
 
@@ -41,7 +43,8 @@ def anchors_of_block(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         octets = _octets(data)
         order = mix(octets)
         least = sliding_min(order, K - S + 1)
-        chosen = np.flatnonzero((least == order[:len(least)]) | (least == order[K - S:]))
+        brief = np.repeat(size < SURE, size)[:len(least)]
+        chosen = np.flatnonzero((least == order[:len(least)]) | (least == order[K - S:]) | brief)
         doc = np.searchsorted(offsets, chosen, "right") - 1
         inside = chosen + K <= offsets[doc + 1]
         at = chosen[inside]

@@ -55,6 +55,23 @@ def test_closed_syncmers_by_definition():
     assert syncmers.aligned((at, value), (moved, again))[0] == 40
 
 
+def test_short_texts_against_plain_overlap():
+    pick = random.Random(4)
+    texts = ["".join(pick.choices("abcdefgh ", k=n)) for n in range(32, 55) for _ in range(20)]
+    near = [t[1:] + "x" if len(t) % 2 else t + "x" for t in texts]
+    for t, u, v in zip(texts, near, texts[1:], strict=False):
+        if len(u) > 54:
+            continue
+        (_, a), (_, b), (_, c) = syncmers.anchors_of([t, u, v])
+        mers = [Counter(x[i:i + 32] for i in range(len(x) - 31)) for x in (t, u, v)]
+        for one, other, p, q in ((a, b, 0, 1), (a, c, 0, 2), (b, c, 1, 2)):
+            want = 2 * (mers[p] & mers[q]).total() / (mers[p].total() + mers[q].total())
+            assert len(one) and syncmers.likeness(one, other) == pytest.approx(want)
+    # from 55 bytes on the chosen ones are enough
+    assert all(len(value) for _, value in syncmers.anchors_of(
+        ["".join(pick.choices("abcdefgh ", k=55)) for _ in range(2000)]))
+
+
 @pytest.mark.parametrize("table", ["documents", "odd"])
 def test_edits_against_plain_python(request, table):
     df = request.getfixturevalue(table)
