@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,19 @@ def test_passages_cover_all_exact_repeats(spark):
     assert extra < 0.5 * sum(map(len, want.values()))
 
 
+def test_all_runs_of_the_first_document_travel_by_key():
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10_000, n)]
+    shared = word(60)
+    texts = [shared + word(440) + shared + word(30), word(9) + shared + word(9)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([2, 3]), pa.array([" ".join(t) for t in texts])], ["doc_id", "text"])
+    rows = [r for b in passages._emit(iter([batch])) for r in b.to_pylist()]
+    runs = Counter(r["key"] for r in rows if r["ref"] is None and r["doc"] == 2)
+    both = {r["key"] for r in rows if r["ref"] == 2}
+    assert both and any(runs[k] == 2 for k in both)
+
+
 def test_near_passages_and_cutting(spark):
     rng = np.random.default_rng(5)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10_000, n)]
