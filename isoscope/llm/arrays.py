@@ -116,7 +116,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     held = worker_state("powers", lambda: {"n": -1})
     if held["n"] < n:
         held["n"] = max(n, BLOCK_BYTES)
@@ -130,7 +130,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, from one running polynomial sum."""
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     table = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, U)

@@ -235,6 +235,39 @@ def test_passages_cover_all_exact_repeats(spark):
     assert extra < 0.5 * sum(map(len, want.values()))
 
 
+def assert_every_exact_repeat(docs):
+    rows = [r for r in plain(docs) if r[0] is not None]
+    result = passages.repeated_passages(docs).collect()
+    got, repeated = covered(result), covered(r for r in result if r["repeated"])
+    want = exact_repeats(rows)
+    assert want and not {i: len(w - got[i]) for i, w in want.items() if w - got[i]}
+    least = defaultdict(dict)  # of every exact passage the documents after the first
+    for i, text in sorted(rows):
+        words = words_of(text)
+        for a in range(len(words) - 49):
+            if least[tuple(words[a:a + 50])].setdefault("doc", i) != i:
+                assert repeated[i] >= set(range(a, a + 50)), (i, a)
+
+
+def test_every_exact_repeat_even_in_texts_that_repeat_themselves(spark):
+    assert_every_exact_repeat(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_second_occurrence_and_copies_among_weak_variants(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10_000, n)]
+    shared, template = word(60), word(50)
+    rows = [(1, shared + word(40)), (2, shared + word(440) + shared + word(30)), (3, word(9) + shared + word(9))]
+    for i in range(60):  # each far below 0.8 of the others
+        variant = list(template)
+        variant[15 + i % 5::9] = [f"v{i}x{n}" for n in range(len(variant[15 + i % 5::9]))]
+        rows.append((10 + i, word(20) + variant + word(20)))
+    rows += [(100, word(20) + template + word(20)), (101, word(33) + template + word(3))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    for one_task in (docs.coalesce(1), docs.repartitionByRange(8, F.col("doc_id").desc())):
+        assert_every_exact_repeat(one_task)
+
+
 def test_all_runs_of_the_first_document_travel_by_key():
     rng = np.random.default_rng(8)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10_000, n)]
