@@ -13,10 +13,12 @@ from isoscope.llm import (
     licenses,
     packing,
     passages,
+    periodic,
     quality,
     secrets,
     sharding,
     syncmers,
+    toxicity,
     warc,
 )
 
@@ -79,11 +81,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id")))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels outside the held-out fold."""
+    return toxicity.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them with a run planted."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.with_runs(docs, reorder=periodic.planted_order).drop("text", "runs", "collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_document_fingerprints, op2_quality_rules, op3_best_fit_packing, op4_bpe_round_trip,
         op5_sharding, op6_secret_scans, op7_substring_dedup, op8_license_scans, op9_warc,
-        op10_minhash_near_dedup)
+        op10_minhash_near_dedup, op11_toxicity, op12_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {}
