@@ -12,8 +12,11 @@ from isoscope.operators.coverage import drop_accounting, filter_low_coverage
 from isoscope.operators.dedup import collapsed_by_type, deduplicate
 from isoscope.plans.lineage import materialize
 from isoscope.sources.event_tables import (
+    event_type,
+    first_lines,
     has_count_columns,
-    headers,
+    header_fields,
+    layouts,
     logical_name,
     read_events,
 )
@@ -54,9 +57,10 @@ def ingest_files(
 ) -> Ingested:
     """Read, filter, de-duplicate.  Copies of one event in several files (the two
     counting modes) are merged by the de-duplication: the lowest FDR survives."""
-    parsed = materialize(read_events(spark, paths, analysis_id), "parsed")
+    found = layouts(spark, paths)
+    parsed = materialize(read_events(spark, paths, analysis_id, found), "parsed")
     # annotation-only input carries no counts at all: nothing to filter on
-    covered = filter_low_coverage(parsed, min_coverage) if has_count_columns(spark, paths) else parsed
+    covered = filter_low_coverage(parsed, min_coverage) if has_count_columns(spark, paths, found) else parsed
     stored = materialize(deduplicate(covered, bp), "ingested")
     return Ingested(stored, ledger(parsed, covered, stored), collapsed_by_type(covered, stored))
 
@@ -65,18 +69,19 @@ def warnings(spark: SparkSession, paths: list[str], events: DataFrame) -> DataFr
     """Files that are empty, unrecognised or contributed no row."""
     # the file index also knows empty files, which no scan returns
     listed = spark.read.option("recursiveFileLookup", "true").text(paths).inputFiles()
-    same = lambda c: F.regexp_replace(c, ":/+", ":/")  # noqa: E731  file:/x and file:///x
-    files = spark.createDataFrame([(p,) for p in listed], "path string").select(
-        same("path").alias("path"))
-    known = headers(spark, paths).select(
-        same("path").alias("path"), "event_type", F.col("header_line").alias("first_line"))
-    used = events.groupBy(same("path").alias("path")).agg(F.count(F.lit(1)).alias("n_events"))
+    # all sides as plain paths: lists and metadata have the escaped form, and file:/// for file:/
+    plain = lambda path: F.regexp_replace(
+        F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "^file:/+", "file:/")
+    files = spark.createDataFrame([(p,) for p in listed], "path string").select(plain("path").alias("path"))
+    name = logical_name(F.regexp_replace("path", "%", "%25"))
+    kind = event_type(name, header_fields(F.col("header_line")))
+    used = events.groupBy(plain("path").alias("path")).agg(F.count(F.lit(1)).alias("n_events"))
     return (
-        files.join(known, "path", "left").join(used, "path", "left")
+        files.join(first_lines(spark, paths), "path", "left").join(used, "path", "left")
         .select(
-            logical_name(F.col("path")).alias("name"),
-            F.when(F.col("first_line").isNull(), "empty file")
-            .when(F.col("event_type").isNull(), "unrecognised file")
+            name.alias("name"),
+            F.when(F.col("header_line").isNull(), "empty file")
+            .when(kind.isNull(), "unrecognised file")
             .when(F.col("n_events").isNull(), "no event in file").alias("warning"),
         )
         .where("warning IS NOT NULL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isoscope.functions.catalogue import CHROMOSOME_MB, PLOT_GAP
 from isoscope.functions.genome_order import bare_name, chromosome_key, display_rank
 from isoscope.functions.labels import site_label
+from isoscope.plans.lineage import materialize
 from isoscope.plans.prefix import row_numbers
 
 PLOT_MAX_POINTS = 50_000
@@ -133,19 +134,23 @@ def plot_set(events: DataFrame, max_points: int = PLOT_MAX_POINTS) -> DataFrame:
     """Points of the genome plot, in genome order: everything while it fits, else every
     significant event plus every N-th other one along the genome.  N is rounded down, so
     the budget may be exceeded."""
-    placed = events.where(F.col("chr").isNotNull() & F.col("exon_start").isNotNull()).select(
-        *PLOT_COLUMNS)
+    rank, name = chromosome_key(F.col("chr"))
+    # the points and their sort keys are computed once; counts, numbering and sorts read them
+    placed = materialize(events.where(F.col("chr").isNotNull() & F.col("exon_start").isNotNull()).select(
+        *PLOT_COLUMNS, rank.alias("_rank"), name.alias("_name")), "plot-points")
+    order = [F.col(c) for c in ("_rank", "_name", "exon_start", "event_id")]
     strong = F.coalesce(F.col("fdr") < PLOT_FDR, F.lit(False))
     n = placed.agg(F.count(F.lit(1)).alias("all"), F.count_if(strong).alias("strong")).first()
-    if n["all"] <= max_points:
-        return in_genome_order(placed)
     budget = max(0, max_points - n["strong"])
-    if budget == 0:
-        return in_genome_order(placed.where(strong))
-    step = max(1, (n["all"] - n["strong"]) // budget)
-    numbered = row_numbers(placed.where(~strong), genome_order(), "_rn")
-    return in_genome_order(placed.where(strong).unionByName(
-        numbered.where(F.col("_rn") % step == 0).drop("_rn")))
+    if n["all"] <= max_points:
+        chosen = placed
+    elif budget == 0:
+        chosen = placed.where(strong)
+    else:
+        step = max(1, (n["all"] - n["strong"]) // budget)
+        numbered = row_numbers(placed.where(~strong), order, "_rn")
+        chosen = placed.where(strong).unionByName(numbered.where(F.col("_rn") % step == 0).drop("_rn"))
+    return chosen.orderBy(*order).select(*PLOT_COLUMNS)
 
 
 def chromosome_offsets(points: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def still_there(spark: SparkSession, path: str) -> bool:
+    """Whether a scratch path of this session has not been deleted."""
+    return path in _written.get(spark.sparkContext.applicationId, [])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: later uses neither recompute the plan nor depend on
     executors that may be lost, and the reader knows the true size."""

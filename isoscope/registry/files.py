@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from isoscope.functions.catalogue import ALT_SITE_COORDS, GENERIC_COORDS
 from isoscope.operators import ingest
-from isoscope.plans.lineage import scratch_path
+from isoscope.plans.lineage import scratch_path, still_there
 from isoscope.registry import fixtures as fx
 from isoscope.registry.filters import COVERED, MXE_NEAR, RI_NEAR, SE_NEAR, _alt, _greedy
 from isoscope.sources import event_tables as et
@@ -69,8 +69,18 @@ _LAYOUT = {
 LOST = "event_id % 71 = 0"  # rows written without any coordinate
 
 
+_landed: dict[tuple[str, str], str] = {}
+
+
 def write_tables(spark, sf) -> str:
-    """One folder per type and mode, named like the caller's files."""
+    """One folder per type and mode, named like the caller's files; written once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _landed or not still_there(spark, _landed[key]):
+        _landed[key] = _write_tables(spark, sf)
+    return _landed[key]
+
+
+def _write_tables(spark, sf) -> str:
     root = scratch_path(spark, "tsv")
     ev = fx.events(spark, sf).withColumn(
         "name", F.concat("event_type", F.lit(".MATS."), "counting_mode", F.lit(".txt")))
@@ -107,20 +117,20 @@ def a4(spark, sf):
 
 @query("a5_renamed_columns", f"SELECT cast(event_id AS varchar) AS caller_id, gene_symbol, CASE WHEN {LOST} OR event_type IN ('A3SS', 'A5SS') THEN NULL ELSE cast(exon_start AS varchar) END AS exon_start, CASE WHEN {LOST} THEN NULL ELSE cast(second_exon_end AS varchar) END AS second_exon_end, inc_level_1 FROM splice_events")
 def a5(spark, sf):
-    return et.renamed(et.raw_cells(spark, [write_tables(spark, sf)])).select(
+    return et.text_columns(spark, [write_tables(spark, sf)]).select(
         "caller_id", "gene_symbol", "exon_start", "second_exon_end", "inc_level_1")
 
 
 @query("a6_coerced_types", f"SELECT event_id AS caller_id, CASE WHEN {LOST} THEN NULL ELSE flanking_ee END AS flanking_ee, round(fdr, 6) AS fdr, round(p_value, 9) AS p_value, inc_level_difference, cast(100 AS integer) AS inc_form_len FROM splice_events")
 def a6(spark, sf):
-    return et.coerced(et.renamed(et.raw_cells(spark, [write_tables(spark, sf)]))).select(
+    return et.coerced(et.text_columns(spark, [write_tables(spark, sf)])).select(
         "caller_id", "flanking_ee", F.round("fdr", 6).alias("fdr"), F.round("p_value", 9).alias("p_value"),
         "inc_level_difference", "inc_form_len")
 
 
 @query("a7_located_rows", f"SELECT event_type, count(*) AS n FROM splice_events WHERE NOT ({LOST}) GROUP BY event_type")
 def a7(spark, sf):
-    rows = et.located(et.coerced(et.renamed(et.raw_cells(spark, [write_tables(spark, sf)]))))
+    rows = et.located(et.coerced(et.text_columns(spark, [write_tables(spark, sf)])))
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 

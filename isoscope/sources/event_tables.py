@@ -1,7 +1,19 @@
-"""Reading the caller's per-type TSV tables into the fixed event schema."""
+"""Reading the caller's per-type TSV tables into the fixed event schema.
+
+A small job reads the first line of every file, one task per file.  Files with the same
+logical name and header are one layout and get one reader with a fixed schema of text
+cells, so type, mode and column positions are constants of its plan; the event table is the
+union of these scans: no join on the path, no shuffle, and only mapped columns are parsed.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,74 +66,118 @@ def logical_name(path: Column) -> Column:
     return F.when(last.startswith("part-"), F.try_element_at(parts, F.lit(-2))).otherwise(last)
 
 
-# -- lines ----------------------------------------------------------------------
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return (
-        spark.read.option("recursiveFileLookup", "true").text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-            F.col("value").alias("line"),
-        )
-    )
+# -- files and layouts ------------------------------------------------------------
+HEAD_BYTES = 1 << 16  # read at a time while looking for the end of a first line
 
 
-def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per file: name, header fields, detected type and mode.
+def first_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, header_line) of every file; null for an empty one.
 
-    Row ids grow along a file's first block, so the smallest one is line one.
+    Each file is opened by one task and read up to its first line end (compressed ones
+    too).  Every executor must be able to open the paths (mount, hdfs://, s3://, gs://).
     """
-    first = (
-        _lines(spark, paths).where(F.col("block") == 0)
-        .groupBy("path").agg(F.min(F.struct("row", "line")).alias("head"))
-    )
-    name = logical_name(F.col("path"))
+    # without its content column this source only lists the files
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                system, name = FileSystem.from_uri(re.sub("^file:/+", "/", path))
+                with system.open_input_stream(name, compression="detect") as stream:
+                    head = b""
+                    while b"\n" not in head and (more := stream.read(HEAD_BYTES)):
+                        head += more
+                line = head.split(b"\n")[0].removesuffix(b"\r").decode("utf-8-sig", "replace")
+                found.append(line if head else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), pa.array(found, pa.string())], ["path", "header_line"])
+
+    return files.select("path").mapInArrow(read, "path string, header_line string")
+
+
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per non-empty file: name, header fields, detected type and mode."""
+    first = first_lines(spark, paths).where(F.col("header_line").isNotNull())
     return first.select(
-        "path",
-        F.col("head.line").alias("header_line"),
-        name.alias("name"),
-        header_fields(F.col("head.line")).alias("header"),
+        "path", "header_line", logical_name(F.regexp_replace("path", "%", "%25")).alias("name"),
+        header_fields(F.col("header_line")).alias("header"),
     ).select(
         "*",
         event_type(F.col("name"), F.col("header")).alias("event_type"),
         counting_mode(F.col("name")).alias("counting_mode"),
-        F.array(*[_slot(c) for c in cat.RAW_HEADERS]).alias("slots"),
     )
 
 
-def raw_cells(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Data rows of recognised files as `cells` (array) next to their header.
+class Layout(NamedTuple):
+    """Files of one logical name and one header."""
+
+    name: str
+    header: list[str]
+    event_type: str
+    counting_mode: str | None
+    paths: list[str]
+
+
+def layouts(spark: SparkSession, paths: list[str]) -> list[Layout]:
+    """The layouts of the recognised files, by name.  A reader is given its files by name,
+    so their list is here, as it is in any file reader; never a line of their data."""
+    known = headers(spark, paths).where(F.col("event_type").isNotNull())
+    grouped = known.groupBy("name", "header", "event_type", "counting_mode").agg(
+        F.sort_array(F.collect_list("path")).alias("paths"))
+    return [Layout(*row) for row in sorted(grouped.collect(), key=lambda r: (r["name"], r["header"]))]
+
+
+def _union(spark: SparkSession, layouts_: list[Layout], columns, ddl: str) -> DataFrame:
+    """One scan per layout, projected by `columns(layout)` (SQL expressions over c0, c1 …)."""
+    text = lambda v: "CAST(NULL AS STRING)" if v is None else "'" + re.sub(r"(['\\])", r"\\\1", v) + "'"
+    whole = None
+    for layout in layouts_:
+        schema = ", ".join(f"c{i} string" for i in range(len(layout.header)))
+        lines = spark.read.schema(schema).csv(layout.paths, sep="\t", header=True, quote="", escape="")
+        scan = lines.selectExpr(
+            "_metadata.file_path AS path", f"{text(layout.name)} AS name",
+            f"{text(layout.event_type)} AS event_type", f"{text(layout.counting_mode)} AS counting_mode",
+            *columns(layout))
+        whole = scan if whole is None else whole.unionByName(scan)
+    return spark.createDataFrame([], ddl) if whole is None else whole
+
+
+def _cell(raw: Column) -> Column:
+    """A cell without quotes; null tokens are null."""
+    bare = F.btrim(raw, F.lit('"'))
+    return F.when(~bare.isin(*cat.NULL_TOKENS), bare)
+
+
+FILE = "path string, name string, event_type string, counting_mode string"
+
+
+def raw_cells(spark: SparkSession, paths: list[str], found: list[Layout] | None = None) -> DataFrame:
+    """Data rows of recognised files as `cells` (array) next to the `slots` of their layout.
 
     Nothing is inferred: every cell is text, quotes are stripped and the null
     tokens become null.  Files without data rows simply contribute none.
     """
-    known = headers(spark, paths).where(F.col("event_type").isNotNull())
-    body = _lines(spark, paths).where(F.trim("line") != "").select("path", "line")
-    # the header side has one row per file; Spark broadcasts it only if it is
-    # small at run time, and splits the line side of a large file otherwise
-    rows = body.join(known, "path").where(F.col("line") != F.col("header_line"))
-    cells = F.transform(
-        F.split(F.regexp_replace("line", "\r$", ""), "\t"), lambda c: F.btrim(c, F.lit('"')))
-    return rows.select(
-        "path", "name", "event_type", "counting_mode", "slots",
-        F.transform(cells, lambda c: F.when(~c.isin(*cat.NULL_TOKENS), c)).alias("cells"),
-    )
+    def columns(layout: Layout) -> list[str]:
+        slots = ", ".join(str(s) if s is not None else "CAST(NULL AS INT)" for s in _slots(layout.header))
+        cells = ", ".join(f"c{i}" for i in range(len(layout.header)))
+        return [f"array({slots}) AS slots", f"array({cells}) AS cells"]
+
+    rows = _union(spark, layouts(spark, paths) if found is None else found, columns,
+                  f"{FILE}, slots array<int>, cells array<string>")
+    return rows.withColumn("cells", F.transform("cells", _cell))
 
 
 # -- projection -------------------------------------------------------------------
-def _slot(internal: str) -> Column:
-    """0-based position of the first header (in header order) that maps to an
-    internal name, or null.  Evaluated once per file, not per row."""
-    accepted = F.array(*[F.lit(h) for h in cat.RAW_HEADERS[internal]])
-    first = F.try_element_at(
-        F.filter(F.col("header"), lambda h: F.array_contains(accepted, h)), F.lit(1)
-    )
-    return (F.array_position("header", first) - 1).cast("int")
+def _slots(header: list[str]) -> list[int | None]:
+    """Per internal name the 0-based position of the first header (in header order) that
+    maps to it."""
+    return [next((i for i, raw in enumerate(header) if raw in accepted), None)
+            for accepted in cat.RAW_HEADERS.values()]
 
 
 def renamed(cells: DataFrame) -> DataFrame:
-    """Internal text columns; unknown columns and the second `ID` disappear."""
+    """Internal text columns of cell arrays; unknown columns and the second `ID` disappear."""
     return cells.select(
         "path", "name", "event_type", "counting_mode",
         *[F.get("cells", F.get("slots", F.lit(i))).alias(c)
@@ -129,6 +185,17 @@ def renamed(cells: DataFrame) -> DataFrame:
     )
 
 
+def text_columns(spark: SparkSession, paths: list[str], found: list[Layout] | None = None) -> DataFrame:
+    """What `renamed` makes of `raw_cells`, straight from the scans: only the mapped cells that
+    a query needs are parsed."""
+    columns = lambda layout: [
+        f"{'CAST(NULL AS STRING)' if slot is None else f'c{slot}'} AS {c}"
+        for c, slot in zip(cat.RAW_HEADERS, _slots(layout.header), strict=True)]
+    rows = _union(spark, layouts(spark, paths) if found is None else found, columns,
+                  ", ".join([FILE, *[f"{c} string" for c in cat.RAW_HEADERS]]))
+    return rows.withColumns({c: _cell(F.col(c)) for c in cat.RAW_HEADERS})
+
+
 def as_integer(cell: Column, kind: str) -> Column:
     """Whole numbers; `12.0` counts as 12, a fraction or anything else as null."""
     number = cell.try_cast("double")
@@ -194,16 +261,18 @@ def stamped(events: DataFrame, analysis_id: str) -> DataFrame:
     })
 
 
-def read_events(spark: SparkSession, paths: list[str], analysis_id: str) -> DataFrame:
+def read_events(
+    spark: SparkSession, paths: list[str], analysis_id: str, found: list[Layout] | None = None
+) -> DataFrame:
     """All recognised files as one event table (the columns a file lacks are null)."""
-    typed = coerced(renamed(raw_cells(spark, paths)))
+    typed = coerced(text_columns(spark, paths, found))
     return stamped(with_generic_alt_site(located(typed)), analysis_id)
 
 
-def has_count_columns(spark: SparkSession, paths: list[str]) -> bool:
+def has_count_columns(
+    spark: SparkSession, paths: list[str], found: list[Layout] | None = None
+) -> bool:
     """Whether the combined input carries the four count columns at all."""
-    needed = ["IJC_SAMPLE_1", "SJC_SAMPLE_1", "IJC_SAMPLE_2", "SJC_SAMPLE_2"]
-    found = headers(spark, paths).where(F.col("event_type").isNotNull()).agg(
-        *[F.max(F.array_contains("header", c)).alias(c) for c in needed]
-    ).first()
-    return all(found[c] for c in needed)
+    known = layouts(spark, paths) if found is None else found
+    present = {c for layout in known for c in layout.header}
+    return {"IJC_SAMPLE_1", "SJC_SAMPLE_1", "IJC_SAMPLE_2", "SJC_SAMPLE_2"} <= present
