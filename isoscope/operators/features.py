@@ -15,7 +15,7 @@ from isoscope.functions.coordinates import (
     splice_windows,
 )
 from isoscope.plans.overlap import overlap_join
-from isoscope.sources.genome import Genome, contigs, resolved_contig, short_regions
+from isoscope.sources.genome import Genome, known_contigs, resolved_contig, short_regions
 from isoscope.sources.transcripts import unversioned
 
 
@@ -178,7 +178,7 @@ def splice_window_sequences(events: DataFrame, genome: Genome) -> DataFrame:
     named = resolved_contig(
         placed.select("event_id", "chr", "strand", "exon_start", "exon_end", "upstream_ee",
                       "downstream_es", "model_start", "model_end"),
-        contigs(genome.table),
+        known_contigs(genome),
     )
     regions = named.select(
         "event_id", "contig", "strand", F.inline(as_long(splice_windows(start, end)))

@@ -22,7 +22,7 @@ from isoscope.operators.hypothesis import benjamini_hochberg, mann_whitney, with
 from isoscope.plans.lineage import materialize
 from isoscope.sources.genome import (
     Genome,
-    contigs,
+    known_contigs,
     region_sequences,
     resolved_contig,
     short_regions,
@@ -56,7 +56,7 @@ def region_text(events: DataFrame, genome: Genome) -> DataFrame:
     slim = _placed(events).select(
         "event_id", "chr", "strand", "exon_start", "exon_end", "upstream_es", "upstream_ee",
         "downstream_es", "downstream_ee")
-    named = resolved_contig(slim, contigs(genome.table))
+    named = resolved_contig(slim, known_contigs(genome))
     exon = ["skipped_exon"]
     bounded = _regions(named, [r for r in REGIONS if r not in exon], "contig")
     if genome.pad >= FLANK_NT:

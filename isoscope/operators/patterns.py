@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isoscope.functions.catalogue import CONSENSUS_SHARE, EVENT_TYPES, IUPAC_CODE, literal_map
 from isoscope.functions.numeric import dpsi_bucket, size_bucket
 from isoscope.functions.sequence import base_fraction
+from isoscope.plans.prefix import medians
 
 # site -> (sequence column, known-flag column, minimal length, kept bases)
 SITES = {
@@ -153,21 +154,39 @@ def first_per_key(df: DataFrame, keys: list[str], order: str, n: int) -> DataFra
 
 
 # -- numeric summaries --------------------------------------------------------------
-def _summary(value: Column, name: str, digits: int = 1) -> list[Column]:
-    return [
-        F.round(F.avg(value), digits).alias(f"{name}_mean"),
-        F.round(F.median(value), digits).alias(f"{name}_median"),
-    ]
+SIZES = ["exon_size", "upstream_intron_size", "downstream_intron_size"]
+
+
+def _mean(name: str) -> Column:
+    return F.round(F.avg(name), 1).alias(f"{name}_mean")
+
+
+def _with_medians(base: DataFrame, rows: DataFrame, by: list[str], columns: list[str],
+                  digits: int = 1) -> DataFrame:
+    """The groups of `base` with the medians of these columns of `rows`, each behind its mean."""
+    found = medians(rows, by, columns)
+    names = [f"{c}_median" for c in columns]
+    if by:
+        renamed = found.withColumnsRenamed({c: f"_m_{c}" for c in by})
+        both = base.join(renamed, [base[c].eqNullSafe(renamed[f"_m_{c}"]) for c in by], "left")
+    else:  # two single rows
+        both = base.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one", "left")
+    order = []
+    for c in base.columns:
+        order.append(c)
+        if c.removesuffix("_mean") in columns and c.endswith("_mean"):
+            order.append(f"{c.removesuffix('_mean')}_median")
+    return both.withColumns({n: F.round(n, digits) for n in names}).select(*order)
 
 
 def size_summary(features: DataFrame) -> DataFrame:
     """Exon sizes (mean, median, min, max) and both intron sizes (mean, median)."""
-    return features.agg(
-        *_summary(F.col("exon_size"), "exon_size"),
+    base = features.agg(
+        _mean("exon_size"),
         F.min("exon_size").alias("exon_size_min"), F.max("exon_size").alias("exon_size_max"),
-        *_summary(F.col("upstream_intron_size"), "upstream_intron_size"),
-        *_summary(F.col("downstream_intron_size"), "downstream_intron_size"),
+        _mean("upstream_intron_size"), _mean("downstream_intron_size"),
     )
+    return _with_medians(base, features, [], SIZES)
 
 
 def size_distribution(features: DataFrame) -> DataFrame:
@@ -250,7 +269,7 @@ def group_statistics(joined: DataFrame, by: str = "is_significant") -> DataFrame
     base = joined.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.count_if(has).alias("n_se_with_features"),
-        *_summary(F.col("exon_size"), "exon_size"),
+        _mean("exon_size"),
         *canonical_counts(),
         F.round(F.avg(F.when(seen, F.col("ppt_score"))), 3).alias("ppt_mean_score"),
         content("T").alias("ppt_mean_t_content"),
@@ -258,15 +277,14 @@ def group_statistics(joined: DataFrame, by: str = "is_significant") -> DataFrame
         *frame_columns(has),
         branch_point_pct(),
         F.round(F.avg("inc_level_difference"), 3).alias("mean_delta_psi"),
-        *_summary(F.col("upstream_intron_size"), "upstream_intron_size"),
-        *_summary(F.col("downstream_intron_size"), "downstream_intron_size"),
+        _mean("upstream_intron_size"), _mean("downstream_intron_size"),
     )
     rates = {
         "pct_canonical_gt": "donor", "pct_canonical_ag": "acceptor",
         "pct_upstream_gt": "upstream_donor", "pct_downstream_ag": "downstream_acceptor",
     }
     helper = [f"{s}_{k}" for s in SITES for k in ("n", "known", "canonical")]
-    return base.withColumns({
+    return _with_medians(base, joined, [by], SIZES).withColumns({
         out: _pct(F.col(f"{s}_canonical"), F.col(f"{s}_known")) for out, s in rates.items()
     }).drop(*helper, "frame_unknown")
 
@@ -289,15 +307,14 @@ def pattern_report(joined: DataFrame, significant: Column) -> DataFrame:
         F.count_if(_filled("donor_seq")).alias("n_analyzed"),
         F.count_if(significant).alias("n_significant"),
         F.count_if(~significant).alias("n_not_significant"),
-        *_summary(F.col("exon_size"), "exon_size"),
+        _mean("exon_size"),
         F.min("exon_size").alias("exon_size_min"), F.max("exon_size").alias("exon_size_max"),
-        *_summary(F.col("upstream_intron_size"), "upstream_intron_size"),
-        *_summary(F.col("downstream_intron_size"), "downstream_intron_size"),
+        _mean("upstream_intron_size"), _mean("downstream_intron_size"),
         F.round(F.avg(effect), 3).alias("mean_delta_psi"),
         F.round(F.avg(F.when(significant, effect)), 3).alias("mean_delta_psi_significant"),
         *canonical_counts(), *ppt_columns(), *frame_columns(has), branch_point_pct(),
     )
-    return base.withColumn("fasta_available", F.col("n_analyzed") > 0)
+    return _with_medians(base, joined, [], SIZES).withColumn("fasta_available", F.col("n_analyzed") > 0)
 
 
 def report_summary(events: DataFrame, features: DataFrame) -> DataFrame:
@@ -324,7 +341,7 @@ def report_feature_table(features: DataFrame) -> DataFrame:
     frame = F.col("frame_class")
     content = lambda b: F.round(F.avg(F.when(
         _filled("ppt_seq"), base_fraction(F.col("ppt_seq"), b))) * 100, 1)
-    return features.agg(
+    base = features.agg(
         F.count(F.lit(1)).alias("n_features"),
         F.count_if("donor_is_gt").alias("n_gt"), F.count("donor_is_gt").alias("n_gt_known"),
         F.count_if("acceptor_is_ag").alias("n_ag"), F.count("acceptor_is_ag").alias("n_ag_known"),
@@ -336,10 +353,10 @@ def report_feature_table(features: DataFrame) -> DataFrame:
         F.count_if(F.col("bp_motif_found")).alias("n_branch_point"),
         F.count_if(_filled("ppt_seq")).alias("n_with_ppt"),
         F.round(F.avg("exon_size"), 0).alias("exon_size_mean"),
-        F.round(F.median("exon_size"), 0).alias("exon_size_median"),
         F.round(F.avg("ppt_score") * 100, 1).alias("ppt_pct"),
         content("T").alias("ppt_t_pct"), content("C").alias("ppt_c_pct"),
-    ).withColumn(
+    )
+    return _with_medians(base, features, [], ["exon_size"], 0).withColumn(
         "n_frame_unknown",
         F.col("n_features") - F.col("n_in_frame") - F.col("n_frameshift") - F.col("n_non_coding"),
     )

@@ -46,7 +46,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -56,7 +61,7 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_isoscope_path", None)
         if path:
-            _delete(table.sparkSession, path)
+            delete_path(table.sparkSession, path)
             _written.get(table.sparkSession.sparkContext.applicationId, []).remove(path)
 
 
@@ -65,5 +70,5 @@ def cleanup(spark: SparkSession) -> int:
     results that read them are written.  Returns how many there were."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        _delete(spark, path)
+        delete_path(spark, path)
     return len(paths)

@@ -66,3 +66,40 @@ def row_numbers(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     inside = Window.partitionBy("_range").orderBy(*order)
     numbered = ranged.withColumn("_i", F.row_number().over(inside)).join(offsets, "_range")
     return numbered.select(*df.columns, (F.col("_i") + F.col("_before")).alias(name))
+
+
+CELL = 1 << 16  # values below CELL * CELL: at most CELL cells, at most CELL values in each
+
+
+def medians(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by..., <column>_median...): exact medians of whole-number columns, selected from
+    counts per distinct value; nulls do not count, a group of nulls has a null median.
+
+    First the cells of values that hold the middle ranks are found from one count per
+    cell, then the values in these cells.  Rows are counted before any shuffle, and a window
+    never holds more than CELL rows for values up to 2^32 (longer than any contig).
+    """
+    names = [f"_by{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_column"), F.col(c).cast("bigint").alias("_v")) for c in columns])).alias("x")
+    ).select(*names, "x.*").where("_v IS NOT NULL")
+    key = [*names, "_column"]
+    counts = rows.groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_cell", F.floor(F.col("_v") / CELL))
+    group = Window.partitionBy(*key)
+    cells = counts.groupBy(*key, "_cell").agg(F.sum("_n").alias("_in")).withColumns({
+        "_upto": F.sum("_in").over(group.orderBy("_cell")), "_all": F.sum("_in").over(group)})
+    # the two middle ranks, equal for an odd number of rows
+    ranks = cells.withColumn("_rank", F.explode(F.expr("array((_all + 1) div 2, _all div 2 + 1)"))).where(
+        "_upto - _in < _rank AND _rank <= _upto")
+    # one row for a cell that holds both ranks; joined under other names, nulls equal
+    held = ranks.groupBy(*key, "_cell", "_upto", "_in", "_all").agg(F.lit(1).alias("_once")).select(
+        *[F.col(c).alias(f"r{c}") for c in [*key, "_cell"]], "_all", (F.col("_upto") - F.col("_in")).alias("_before"))
+    inside = counts.join(held, [F.col(c).eqNullSafe(F.col(f"r{c}")) for c in [*key, "_cell"]])
+    running = inside.withColumn("_last", F.col("_before") + F.sum("_n").over(
+        Window.partitionBy(*key, "_before").orderBy("_v")))
+    middle = running.withColumn("_rank", F.explode(F.expr("array((_all + 1) div 2, _all div 2 + 1)"))).where(
+        "_last - _n < _rank AND _rank <= _last")
+    return middle.groupBy(*names).agg(*[
+        F.avg(F.when(F.col("_column") == c, F.col("_v"))).alias(f"{c}_median") for c in columns
+    ]).withColumnsRenamed(dict(zip(names, by, strict=True)))

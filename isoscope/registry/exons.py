@@ -61,7 +61,7 @@ def d4(spark, sf):
         "CASE WHEN event_id % 7 = 0 THEN exon_start % 40 - 30 WHEN event_id % 11 = 0 THEN 20480 - event_id % 90 ELSE exon_start - 1500 END AS start",
         "CASE WHEN event_id % 7 = 0 THEN exon_start % 40 - 20 + event_id % 30 WHEN event_id % 11 = 0 THEN 20480 + event_id % 13 ELSE exon_start - 1500 + event_id % 1400 END AS end")
     genome = fx.genome(spark, sf)
-    named = gn.resolved_contig(probes, gn.contigs(genome.table))
+    named = gn.resolved_contig(probes, gn.known_contigs(genome))
     return gn.region_sequences(named, genome, ["event_id"]).select("event_id", "seq")
 
 

@@ -10,6 +10,7 @@ from isoscope.operators import annotation as an
 from isoscope.operators import export as ex
 from isoscope.operators import features as ft
 from isoscope.operators import maintenance as mt
+from isoscope.operators import store as st
 from isoscope.plans.lineage import scratch_path
 from isoscope.registry import fixtures as fx
 from isoscope.registry.annotation import ANNOT
@@ -106,3 +107,81 @@ def l8(spark, sf):
     left = mt.without_deep_analysis("deep_2", tags.select("deep_analysis_id").distinct(), tags)
     return left["tags"].join(left["deep_analyses"], "deep_analysis_id").groupBy("deep_analysis_id").agg(
         F.count(F.lit(1)).alias("n_tags"))
+
+
+# -- the store: written, changed and read back ------------------------------------------------
+def _filled(spark, sf) -> st.Store:
+    """Four analyses with two sample groups and one deep analysis each."""
+    store = st.Store(spark, scratch_path(spark, "store"))
+    ev = fx.events(spark, sf).withColumn(
+        "analysis_id", F.concat(F.lit("AN/0"), (F.col("event_id") % 4).cast("string")))
+    st.insert_events(store, ev)
+    st.insert(store, "features", ev.where("event_type = 'SE'").select(
+        "analysis_id", "event_id", exon_size().alias("exon_size")), ["analysis_id", "event_id"])
+    ids = ev.select("analysis_id").distinct()
+    deep = F.concat(F.lit("D "), "analysis_id").alias("deep_analysis_id")
+    st.insert(store, "analyses", ids.select("analysis_id", F.lit("done").alias("status")), ["analysis_id"])
+    st.insert(store, "sample_groups", ids.select(
+        "analysis_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("group_index")), ["analysis_id", "group_index"])
+    st.insert(store, "deep_analyses", ids.select("analysis_id", deep, F.lit(FDR).alias("fdr_threshold")), ["analysis_id", "deep_analysis_id"])
+    st.insert(store, "tags", ev.select(deep, "event_id"), ["deep_analysis_id", "event_id"])
+    return store
+
+
+@query("d14_delete_analysis", """, stored AS (SELECT *, 'AN/0' || (event_id % 4) AS analysis_id FROM splice_events), kept AS (SELECT * FROM stored WHERE analysis_id <> 'AN/01')
+SELECT 'features' AS table_name, analysis_id AS id, cast(sum(exon_end - exon_start) AS bigint) AS n FROM kept WHERE event_type = 'SE' GROUP BY 2
+UNION ALL SELECT 'tags', 'D ' || analysis_id, cast(sum(event_id) AS bigint) FROM kept GROUP BY 2
+UNION ALL SELECT DISTINCT 'deep_analyses', 'D ' || analysis_id, 1 FROM kept
+UNION ALL SELECT DISTINCT 'sample_groups', analysis_id, 3 FROM kept
+UNION ALL SELECT DISTINCT 'analyses', analysis_id, 1 FROM kept""")
+def d14_stored(spark, sf):
+    """What is left in the stored tables after one analysis is deleted (events: see l1)."""
+    store = _filled(spark, sf)
+    st.delete_analysis(store, "AN/01")
+    one, total = F.lit(1).cast("bigint"), lambda c: F.sum(c).cast("bigint")
+    parts = {
+        "features": ("analysis_id", total("exon_size")), "tags": ("deep_analysis_id", total("event_id")),
+        "deep_analyses": ("deep_analysis_id", total(one)), "sample_groups": ("analysis_id", total("group_index")),
+        "analyses": ("analysis_id", total(one)),
+    }
+    out = None
+    for table, (key, value) in parts.items():
+        rows = store.read(table).groupBy(F.col(key).alias("id")).agg(value.alias("n")).select(
+            F.lit(table).alias("table_name"), "id", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("l2_upsert_stored", "SELECT event_id, 'AN/0' || (event_id % 4) AS analysis_id, CASE WHEN event_id % 4 = 2 AND event_id % 3 = 0 THEN exon_end - exon_start + 1000 ELSE exon_end - exon_start END AS exon_size FROM se")
+def l2_stored(spark, sf):
+    """Features of one analysis replaced from the table itself; the others are not rewritten."""
+    store = _filled(spark, sf)
+    again = store.read("features").where("analysis_id = 'AN/02' AND event_id % 3 = 0").withColumn(
+        "exon_size", F.col("exon_size") + 1000)
+    st.upsert(store, "features", again, ["analysis_id", "event_id"])
+    return store.read("features").select("event_id", "analysis_id", "exon_size")
+
+
+@query("l8_delete_stored", "SELECT 'D AN/0' || (event_id % 4) AS deep_analysis_id, count(*) AS n_tags FROM splice_events WHERE event_id % 4 <> 3 GROUP BY 1")
+def l8_stored(spark, sf):
+    store = _filled(spark, sf)
+    st.delete_deep_analysis(store, "D AN/03")
+    return store.read("tags").join(store.read("deep_analyses"), "deep_analysis_id").groupBy("deep_analysis_id").agg(
+        F.count(F.lit(1)).alias("n_tags"))
+
+
+@query("l1_insert_counted", f""", keyed AS (SELECT 'A' AS analysis_id, *, row_number() OVER (PARTITION BY {', '.join(st.IDENTITY_COLUMNS)} ORDER BY event_id) AS rn, event_id % 2 AS half FROM splice_events),
+halves AS (SELECT *, min(half) OVER (PARTITION BY {', '.join(st.IDENTITY_COLUMNS)}) AS first_half FROM keyed)
+SELECT 'even rows' AS load, 1 AS ord, count(DISTINCT CASE WHEN first_half = 0 THEN md5(concat_ws('|', {', '.join(f"coalesce(cast({c} AS varchar), '-')" for c in st.IDENTITY_COLUMNS)})) END) AS n_inserted FROM halves
+UNION ALL SELECT 'even rows again', 2, 0
+UNION ALL SELECT 'all rows', 3, count(DISTINCT CASE WHEN first_half = 1 THEN md5(concat_ws('|', {', '.join(f"coalesce(cast({c} AS varchar), '-')" for c in st.IDENTITY_COLUMNS)})) END) FROM halves""")
+def l1_counted(spark, sf):
+    """Rows that each of three loads adds: half of the events, the same again, all."""
+    store = st.Store(spark, scratch_path(spark, "store"))
+    ev = fx.events(spark, sf).withColumn("analysis_id", F.lit("A"))
+    even = ev.where("event_id % 2 = 0")
+    loads = [("even rows", even), ("even rows again", even), ("all rows", ev)]
+    counts = [(name, i, st.insert_events(store, rows)) for i, (name, rows) in enumerate(loads, 1)]
+    total = store.read("events").count()
+    assert total == sum(n for _, _, n in counts)
+    return spark.createDataFrame(counts, "load string, ord int, n_inserted bigint")

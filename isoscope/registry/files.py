@@ -192,6 +192,12 @@ def a11(spark, sf):
     return gn.read_fasta(spark, fasta, f"{root}/fai", 1000)
 
 
+@query("a11_stored_genome", "SELECT contig, cast(i AS bigint) AS wide_id, substr(t, i * 1024 + 1, 1280) AS seq FROM contig_text CROSS JOIN (SELECT unnest(range(0, 20)) AS i) x")
+def a11_stored(spark, sf):
+    """Rows of the genome as the catalogue has them."""
+    return fx.genome(spark, sf).table
+
+
 # a clinical transcript first, then the selected one; every third gene has no tag
 _GFF_SQL = """, tx2 AS (SELECT g, n, 'ENST' || lpad(cast(g AS varchar), 9, '0') || n AS transcript_id, 'ENSG' || lpad(cast(g AS varchar), 11, '0') AS gene_id,
     CASE WHEN g % 3 = 0 THEN '' WHEN n = 1 THEN 'MANE_Plus_Clinical' ELSE 'basic,MANE_Select' END AS tag FROM genes CROSS JOIN (SELECT unnest([1, 2]) AS n) x)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from isoscope.operators import features as ft
 from isoscope.operators.significance import is_significant, tag_events
+from isoscope.plans.lineage import scratch_path, still_there
 from isoscope.sources import genome as gn
 from isoscope.sources.transcripts import from_exon_rows
 
@@ -104,8 +105,17 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
         *_split(_CHUNK_COLUMNS))
 
 
+_genomes: dict[tuple[str, str], tuple[str, gn.Genome]] = {}
+
+
 def genome(spark: SparkSession, sf: str) -> gn.Genome:
-    return gn.padded(chunks(spark, sf), CHUNK_NT, 1024, 256)
+    """The stored genome, converted once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _genomes or not still_there(spark, _genomes[key][0]):
+        path = scratch_path(spark, "genome")
+        wide = gn.padded(chunks(spark, sf), CHUNK_NT, 1024, 256)
+        _genomes[key] = path, gn.store_genome(wide, f"isoscope_genome_{path[-32:]}", path)
+    return _genomes[key][1]
 
 
 def transcript_exons(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,8 @@
 `padded` regroups them into wider pieces that repeat the first `pad` bases of
 what follows, so any region up to `pad` long lies inside ONE row and is a single
 equi-join plus a substring; longer regions are cut into pieces and glued again.
+`store_genome` keeps that table bucketed on the join key under a name of the catalogue, so
+that a lookup shuffles its regions to the buckets and never the genome.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from isoscope.functions.catalogue import CONTIG_ALIAS, literal_map
 
 
 class Genome(NamedTuple):
-    """Padded chunk table: (contig, wide_id, seq)."""
+    """Padded chunk table: (contig, wide_id, seq).  `names` has one row per contig; without it
+    the names are found in the table."""
 
     table: DataFrame
     width: int
     pad: int
+    names: DataFrame | None = None
 
 
 def padded(chunks: DataFrame, chunk_nt: int, width: int = 4096, pad: int = 1024) -> Genome:
@@ -49,6 +53,54 @@ def padded(chunks: DataFrame, chunk_nt: int, width: int = 4096, pad: int = 1024)
     return Genome(table, width, pad)
 
 
+# -- a stored genome -----------------------------------------------------------------
+_PROPERTIES = ("width", "pad")
+
+
+def store_genome(genome: Genome, name: str, path: str | None = None, buckets: int | None = None) -> Genome:
+    """Write the padded table under a catalogue name, bucketed and sorted on (contig, wide_id),
+    one file per bucket, with a small table of its contigs (`name`_contigs).  Replaces a
+    genome of that name.  Returns it as `load_genome` does.
+
+    `path`: a folder that all executors share; by default the warehouse's.  `buckets`: by
+    default spark.sql.shuffle.partitions, so that regions shuffled for another join fit.
+    """
+    spark = genome.table.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["contig", "wide_id"]
+
+    def save(df: DataFrame, table: str, folder: str, keys: list[str], n: int) -> None:
+        writer = df.repartition(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").bucketBy(
+            n, *keys).sortBy(*keys)
+        (writer.option("path", f"{path}/{folder}") if path else writer).saveAsTable(table)
+
+    save(genome.table.select(*key, "seq"), name, "sequence", key, buckets)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ("
+              + ", ".join(f"'isoscope.{p}'='{getattr(genome, p)}'" for p in _PROPERTIES) + ")")
+    save(contigs(spark.table(name)), f"{name}_contigs", "contigs", ["contig"], 1)
+    return load_genome(spark, name)
+
+
+def load_genome(spark: SparkSession, name: str) -> Genome:
+    """A genome stored under a catalogue name; an error where there is none."""
+    known = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    if not all(f"isoscope.{p}" in known for p in _PROPERTIES):
+        raise ValueError(f"{name} is not a stored genome")
+    width, pad = (int(known[f"isoscope.{p}"]) for p in _PROPERTIES)
+    return Genome(spark.table(name), width, pad, spark.table(f"{name}_contigs"))
+
+
+def drop_genome(spark: SparkSession, name: str) -> None:
+    """Forget a stored genome; files under a path of one's own stay."""
+    for table in (name, f"{name}_contigs"):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def known_contigs(genome: Genome) -> DataFrame:
+    """One row per contig."""
+    return contigs(genome.table) if genome.names is None else genome.names
+
+
 def _piece(genome: Genome, regions: DataFrame, start: Column, end: Column) -> DataFrame:
     """Adds `_text`: the sequence of [start, end), at most `pad` long."""
     located = regions.withColumn("_s", start).withColumn("_e", end).withColumn(
