@@ -17,9 +17,10 @@ from isoscope.functions.cells import mean, psi_list
 from isoscope.functions.numeric import binomial, histogram_bin, histogram_edge
 from isoscope.plans.lineage import materialize
 
-# PSI values are compared as integers: equal splits tie exactly whatever the order
-# of summation
-PSI_SCALE = 1_000_000
+# PSI values are compared as integers, so that equal splits tie exactly whatever the order of
+# summation.  Twelve decimals are exact (a double holds them); more are rounded.  All sums
+# fit 64 bits for up to 300 replicates in each group.
+PSI_SCALE = 10 ** 12
 NULL_BINS = 40
 EVENT_BINS = 20
 METRIC_BINS = 30
@@ -42,7 +43,8 @@ def _splits(n: int, n1: int) -> np.ndarray:
 
 def _noise(seed: int, keys: np.ndarray, iterations: int, n: int) -> np.ndarray:
     """Uniform 64-bit noise (row, iteration, slot) from a counter-based mixer: it
-    depends on seed, event and position only, so partitioning cannot change it."""
+    depends on seed, event and position only, so partitioning cannot change it, and any
+    engine with 64-bit wrap-around can state it."""
     with np.errstate(over="ignore"):
         step = np.uint64(0x9E3779B97F4A7C15)
         counter = np.arange(iterations * n, dtype=np.uint64).reshape(iterations, n)
@@ -147,7 +149,9 @@ def event_permutations(
     """
     inputs = event_inputs(events)
     id_type = inputs.schema["event_id"].dataType.simpleString()
-    tested = inputs.select(*CARRIED, "pool", F.xxhash64("event_id").alias("key")).mapInPandas(
+    # the event's key: the first 60 bits of its id's digest
+    key = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    tested = inputs.select(*CARRIED, "pool", F.coalesce(key, F.lit(0)).alias("key")).mapInPandas(
         _event_tests(clamped_iterations(iterations), seed, max_splits),
         f"event_id {id_type}, gene_symbol string, delta double, n1 int, n2 int, p_raw double, "
         "tested_delta_psi double, exact boolean, n_splits bigint, null_hist array<bigint>",

@@ -36,6 +36,40 @@ def page_of(
     return events.orderBy(order, "event_id").offset((page - 1) * page_size).limit(page_size)
 
 
+def page_borders(
+    events: DataFrame, sort_by: str = "fdr", descending: bool = False, page_size: int = 50,
+) -> DataFrame:
+    """(page, value, event_id): the last row before each page but the first, in the order of
+    `page_of`.  One small row per page, numbered without a global window; made once for a
+    stored table, it lets any page be read by `page_after`."""
+    value = _sort_value(sort_by)
+    keyed = events.select(value.alias("value"), "event_id")
+    order = F.col("value").desc_nulls_last() if descending else F.col("value").asc_nulls_last()
+    numbered = row_numbers(keyed, [order, F.col("event_id")], "_rn")
+    return numbered.where(F.col("_rn") % page_size == 0).select(
+        (F.col("_rn") / page_size + 1).cast("bigint").alias("page"), "value", "event_id")
+
+
+def page_after(
+    events: DataFrame, border: dict | None, sort_by: str = "fdr", descending: bool = False,
+    page_size: int = 50,
+) -> DataFrame:
+    """The page behind a border (`value`, `event_id`; None: the first page).  Earlier rows fail
+    a predicate on the sort columns, which reaches the scan, instead of being sorted and
+    skipped."""
+    value = _sort_value(sort_by)
+    order = value.desc_nulls_last() if descending else value.asc_nulls_last()
+    if border is not None:
+        later = F.col("event_id") > F.lit(border["event_id"])
+        if border["value"] is None:
+            behind = value.isNull() & later
+        else:
+            at = F.lit(border["value"])
+            behind = (value < at if descending else value > at) | value.isNull() | ((value == at) & later)
+        events = events.where(behind)
+    return events.orderBy(order, "event_id").limit(page_size)
+
+
 def page_count(events: DataFrame, page_size: int = 50) -> DataFrame:
     """One row: total and number of pages (at least one)."""
     total = F.count(F.lit(1))

@@ -247,3 +247,15 @@ def a16(spark, sf):
         F.concat("term", F.lit("\tabout\t"), "members", F.lit("\t ")).alias("value"), "library"
     ).write.partitionBy("library").text(root)
     return tx.gene_set_sizes(tx.gene_sets(spark, [root]))
+
+
+@query("a16_blank_gene_sets", """, sets AS (SELECT 'LIB' || (t % 3) AS library, 'TERM' || t AS term, 'GENE' || g AS gene, t FROM genes CROSS JOIN (SELECT unnest(range(0, 40)) AS t) x WHERE (g * (t + 3)) % 7 = t % 7)
+SELECT 'library=' || library AS library, term, cast(sum(CASE WHEN t % 4 = 0 THEN 0 ELSE 1 END) AS bigint) AS size FROM sets GROUP BY library, term""")
+def a16_blank(spark, sf):
+    """Every fourth term has blank genes only: it is listed with size 0."""
+    root = scratch_path(spark, "gmt")
+    blank = F.expr("cast(substring(term, 5) AS int) % 4 = 0")
+    gene = F.when(blank, " ").otherwise(F.col("gene"))
+    fx.gene_set_rows(spark, sf).groupBy("library", "term").agg(F.array_join(F.collect_list(gene), "\t").alias("members")).select(
+        F.concat("term", F.lit("\tabout\t"), "members").alias("value"), "library").write.partitionBy("library").text(root)
+    return tx.gene_set_sizes(tx.gene_set_lines(spark, [root]))

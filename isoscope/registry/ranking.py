@@ -21,6 +21,16 @@ def i1(spark, sf):
     return page.select("event_id", "gene_symbol", "fdr", "inc_level_difference")
 
 
+@query("i1_keyset_page", "SELECT event_id, gene_symbol, fdr, inc_level_difference FROM splice_events WHERE event_type = 'SE' ORDER BY abs(inc_level_difference) DESC NULLS LAST, event_id LIMIT 50 OFFSET 100")
+def i1_keyset(spark, sf):
+    """The same page behind its border instead of by an offset."""
+    rows = fx.skipped(spark, sf)
+    borders = rk.page_borders(rows, "abs_inc_level_diff", True)
+    found = borders.where("page = 3").first()  # one row: the border of the page asked for
+    page = rk.page_after(rows, found.asDict(), "abs_inc_level_diff", True)
+    return page.select("event_id", "gene_symbol", "fdr", "inc_level_difference")
+
+
 @query("i1_page_count", "SELECT count(*) AS total, cast(greatest(1, ceil(count(*) / 50.0)) AS bigint) AS pages FROM se")
 def i1_count(spark, sf):
     return rk.page_count(fx.skipped(spark, sf))

@@ -173,12 +173,13 @@ def from_exon_rows(exon_rows: DataFrame) -> DataFrame:
     )
 
 
-def gene_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """GMT lines (term, description, genes...) as rows (library, term, gene); the
-    library is the file name.  Blank genes are dropped."""
+def gene_set_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """GMT lines (term, description, genes...) as (library, term, genes): the library is the
+    file name, the genes are the line's non-blank ones, perhaps none."""
     from isoscope.sources.event_tables import logical_name
 
     fields = F.split("value", "\t")
+    genes = F.transform(F.expr("slice(f, 3, size(f))"), lambda g: F.trim(g))
     return (
         spark.read.option("recursiveFileLookup", "true").text(paths)
         .select(logical_name(F.col("_metadata.file_path")).alias("file"), fields.alias("f"))
@@ -186,13 +187,18 @@ def gene_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
         .select(
             F.regexp_replace("file", r"\.(gmt|txt)(\.gz)?$", "").alias("library"),
             F.trim(F.col("f")[0]).alias("term"),
-            F.explode(F.expr("slice(f, 3, size(f))")).alias("gene"),
+            F.filter(genes, lambda g: g != "").alias("genes"),
         )
-        .withColumn("gene", F.trim("gene"))
-        .where("gene <> ''")
     )
 
 
+def gene_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows (library, term, gene).  Blank genes are dropped."""
+    return gene_set_lines(spark, paths).select("library", "term", F.explode("genes").alias("gene"))
+
+
 def gene_set_sizes(sets: DataFrame) -> DataFrame:
-    """Number of non-blank genes per term."""
-    return sets.groupBy("library", "term").agg(F.count(F.lit(1)).alias("size"))
+    """Number of non-blank genes per term, of `gene_sets` rows or of `gene_set_lines`; only the
+    lines know terms whose genes are all blank, which have size 0."""
+    size = F.sum(F.size("genes")) if "genes" in sets.columns else F.count(F.lit(1))
+    return sets.groupBy("library", "term").agg(size.cast("bigint").alias("size"))
