@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isoscope.llm.arrays import LOWER, U, span_hashes, text_buffers
+from isoscope.llm.arrays import LOWER, U, mix, span_hashes, text_buffers
 from isoscope.plans.lineage import discard, materialize
 
 LONGEST = 3
@@ -36,9 +36,9 @@ MIN_COUNT = 10
 COVERED_PERCENT = 50  # share of a phrase's places inside a longer one that drops the phrase
 TOP = 2000
 SCALE = 1_000_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 PARTS = 64  # tasks over which a hot node's edges are dealt
-BUCKET_ROWS = 1_000_000  # counted edges that are summed at once
+BUCKET_ROWS = 500_000  # counted edges that are summed at once
 HOT_SAMPLE = 1 / 16  # share of the texts that hot nodes are looked for in
 NO_LANG = "und"
 MARK, LINE = "\t", "\n"  # stand in no word
@@ -112,6 +112,8 @@ class Pieces:
         langs = lang[part] if n else np.zeros(0, np.int64)
         self.ids, at = _named(langs * max(len(coded.dictionary), 1) + codes)
         self.words = coded.dictionary.take(pa.array(codes[at])).cast(pa.string())  # of each number
+        text, bounds = text_buffers(self.words)
+        self.hashes = span_hashes(text, bounds[:-1], bounds[1:])
         self.lang_of = langs[at]
         breaks = np.concatenate(([0], np.cumsum(SEPARATOR[data])))
         first = np.ones(n, bool)
@@ -135,6 +137,8 @@ class Pieces:
         return names, at
 
     def phrase(self, at: np.ndarray, words: int) -> pa.Array:
+        if not words:
+            return pa.array([""] * len(at), pa.string())
         parts = [self.words.take(pa.array(self.ids[at + j])) for j in range(words)]
         return pc.binary_join_element_wise(*parts, " ") if words > 1 else parts[0]
 
@@ -184,21 +188,32 @@ def _keys(pieces: Pieces, langs: pa.Array, at: np.ndarray, words: int) -> pa.Arr
     return pc.binary_join_element_wise(lang, pieces.phrase(at, words).cast(pa.string()), MARK)
 
 
-def _dealt(key: pa.Array, word: pa.Array, hot: pa.Array) -> pa.Array:
-    """Keys with a part number behind those of hot nodes."""
+def _places(pieces: Pieces, langs: pa.Array, at: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of language and phrase, the same in every block."""
+    own = np.array([zlib.crc32(x.encode()) for x in langs.to_pylist()], U)
+    place = own[pieces.lang_of[pieces.ids[at]]]
+    with np.errstate(over="ignore"):
+        for j in range(words):
+            place = mix(place * U(0x2545F4914F6CDD1D) + pieces.hashes[pieces.ids[at + j]])
+    return place
+
+
+def _dealt(key: pa.Array, word: pa.Array, place: np.ndarray, hot: pa.Array) -> pa.Array:
+    """Keys with a part number behind those of hot nodes, whose places change with it."""
     at = np.flatnonzero(pc.is_in(key, hot).to_numpy(zero_copy_only=False)) if len(hot) else []
     if not len(at):
         return key
     out = key.to_pylist()
     for i, w in zip(at.tolist(), word.take(pa.array(at)).to_pylist(), strict=True):
-        out[i] += f"{MARK}{zlib.crc32(w.encode()) % PARTS}"
+        part = zlib.crc32(w.encode()) % PARTS
+        out[i] += f"{MARK}{part}"
+        place[i] ^= mix(np.array([part + 1], U))[0]
     return pa.array(out, pa.string())
 
 
-def _packed(key: pa.Array, word: pa.Array, count: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row per bucket of keys: the keys and the words in lines, and the counts."""
-    data, offsets = text_buffers(key)
-    bucket = (span_hashes(data, offsets[:-1], offsets[1:]) % U(buckets)).astype(np.int32)
+def _packed(key: pa.Array, word: pa.Array, count: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket of places: the keys and the words in lines, and the counts."""
+    bucket = (place % U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
@@ -229,17 +244,23 @@ def edges(texts: DataFrame, buckets: int, longest: int = LONGEST, hot: list[str]
                     continue
                 at, last, count = _edges(pieces, longest)
                 word = pieces.words.take(pa.array(pieces.ids[last]))
-                keys = [_dealt(_keys(pieces, langs, at, longest - 1), word, hot)]
+                places = [_places(pieces, langs, at, longest - 1)]
+                keys = [_dealt(_keys(pieces, langs, at, longest - 1), word, places[0], hot)]
                 counts = [count]
                 for words, at, count in _flows(pieces, longest):
+                    places.append(_places(pieces, langs, at, words))
                     keys.append(_keys(pieces, langs, at, words))
                     counts.append(count)
-                of, total = np.unique(pieces.lang_of[pieces.ids], return_counts=True)
-                keys.append(pa.array([f"{x}{MARK}" for x in langs.take(pa.array(of)).to_pylist()], pa.string()))
+                # one word of each language stands for the number of its words
+                _, at, total = np.unique(
+                    pieces.lang_of[pieces.ids], return_index=True, return_counts=True)
+                places.append(_places(pieces, langs, at, 0))
+                keys.append(_keys(pieces, langs, at, 0))
                 counts.append(total)
                 counts = np.concatenate(counts).astype(np.int64)
                 no_word = pa.array([""] * (len(counts) - len(word)), pa.string())
-                yield _packed(pa.concat_arrays(keys), pa.concat_arrays([word, no_word]), counts, buckets)
+                yield _packed(pa.concat_arrays(keys), pa.concat_arrays([word, no_word]), counts,
+                              np.concatenate(places), buckets)
 
     return texts.mapInArrow(run, PACKED)
 
