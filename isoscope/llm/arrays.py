@@ -7,6 +7,8 @@ temporary arrays stay small whatever a batch holds.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -30,15 +32,32 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def worker_state(key: str, make):
+def worker_state(key: str, make, owner: str):
     """A value built once per Python worker.  The package travels by value, so its
-    own globals are new in each task; a module entry outlives them."""
+    own globals are new in each task; a module entry outlives them.
+
+    Workers serve stage after stage: only the values of one owner are held, those of
+    the one before are dropped and their memory is given back."""
     holder = sys.modules.setdefault("_isoscope_worker_state", types.ModuleType("state"))
+    if getattr(holder, "owner", owner) != owner:
+        holder.__dict__.clear()
+        release_memory()
+    holder.owner = owner
     if not hasattr(holder, key):
         setattr(holder, key, make())
     return getattr(holder, key)
 
 
+def release_memory() -> None:
+    """Give unused memory of this worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     with np.errstate(over="ignore"):
@@ -116,16 +135,22 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (_BASE, _BASE_INVERSE):
+            steps = np.full(n + 1, base, U)
+            steps[0] = 1
+            out.append(np.cumprod(steps, dtype=U))
+    return out[0], out[1]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    held = worker_state("powers", lambda: {"n": -1})
-    if held["n"] < n:
-        held["n"] = max(n, BLOCK_BYTES)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                steps = np.full(held["n"] + 1, base, U)
-                steps[0] = 1
-                held[name] = np.cumprod(steps, dtype=U)
-    return held["up"], held["down"]
+    """Powers of the base and of its inverse, up to n at least.  A worker holds those of one
+    block; a longer text's are made for it alone."""
+    if n > BLOCK_BYTES:
+        return _powers(n)
+    return worker_state("powers", lambda: _powers(BLOCK_BYTES), "hashes")
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

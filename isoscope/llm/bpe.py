@@ -237,7 +237,7 @@ def merge_together(own: Codec, pieces: list[bytes]) -> list[bytes]:
     """Packed ids of many pieces at once: in each step every unfinished piece merges the
     pair of its least rank, wherever it stands, from left to right.  (A pair that a merge
     creates always has a greater rank, so this is the order of the queue.)"""
-    table = worker_state(f"merges:{id(own)}", lambda: MergeTable(own))
+    table = worker_state(f"merges:{id(own)}", lambda: MergeTable(own), "bpe")
     if not pieces:
         return []
     sizes = np.array([len(p) for p in pieces])
@@ -275,7 +275,7 @@ def merge_together(own: Codec, pieces: list[bytes]) -> list[bytes]:
 
 def codec(path: str | None = None) -> Codec:
     """This worker's codec for the file."""
-    return worker_state(f"bpe:{path}", lambda: Codec(path))
+    return worker_state(f"bpe:{path}", lambda: Codec(path), "bpe")
 
 
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text",
