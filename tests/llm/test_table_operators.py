@@ -389,6 +389,57 @@ def test_open_pairs_are_all_pairs_between_classes_of_a_bucket(spark):
                           if a > b and of(a) != of(b)})
 
 
+def family(rng, n, least, most, words=240):
+    """Variants of one text with `least` to `most` - 1 changed words each."""
+    base, out = [f"w{x}" for x in rng.integers(0, 5000, words)], []
+    for _ in range(n):
+        own = list(base)
+        for at in rng.choice(words, rng.integers(least, most), replace=False):
+            own[at] = f"v{rng.integers(0, 50_000)}"
+        out.append(own)
+    return out
+
+
+def pairs_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(" ".join(w) for w in texts)), "doc_id bigint, text string")
+    sketch = darts.sketches(docs)
+    shared = darts.shared_buckets(sketch)
+    rows = darts.open_buckets(shared, spark.createDataFrame([], "id bigint, label bigint"))
+    crowded = rows.where(f"n > {darts.CROWD}").select("doc_id", "class").distinct()
+    content = darts.content_buckets(crowded, docs)
+    return darts.meeting_pairs(rows).unionByName(darts.meeting_pairs(content)).distinct().count()
+
+
+def test_pairs_of_a_family_below_the_threshold_grow_with_its_size(spark):
+    """Variants that are alike (about 0.6 to 0.75) but no near duplicates."""
+    rng = np.random.default_rng(11)
+    made = {n: pairs_of(spark, family(rng, n, 8, 13)) for n in (240, 480, 960)}
+    # twice to three times the pairs of half the family (all pairs: four times); a bucket of
+    # a shingle or band gives at most (CROWD - 1) / 2 pairs or three ties a row
+    assert made[480] < 3 * made[240] and made[960] < 3 * made[480], made
+    assert made[960] < 0.1 * 960 * 959 / 2, made
+
+
+def test_links_inside_a_large_family_are_found(spark):
+    """480 variants below the threshold of each other; every twelfth has near copies of its
+    own, two of them or twelve, which no end of a bucket ties."""
+    rng = np.random.default_rng(12)
+    texts = family(rng, 480, 8, 13)
+    for i in range(0, 480, 12):
+        for _ in range(12 if i % 48 == 0 else 1):
+            own = list(texts[i])
+            for at in rng.choice(240, 2, replace=False):
+                own[at] = f"x{rng.integers(0, 50_000)}"
+            texts.append(own)
+    order = rng.permutation(len(texts))
+    rows = [(int(d), " ".join(w)) for d, w in zip(order, texts, strict=True)]
+    want = brute_classes(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in darts.classes(docs).collect()}
+    assert len(set(want.values())) > 300
+    assert got == want
+
+
 def test_near_classes_on_odd_rows(odd, empty):
     got = darts.classes(odd).collect()
     assert len(got) == odd.count()
