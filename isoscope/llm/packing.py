@@ -3,9 +3,9 @@
 Every document becomes token pieces of at most `capacity`; pieces of full length are
 sequences of their own.  The rest is dealt into groups of bounded size, and each group
 is packed by best-fit decreasing.  Dual feasible functions bound the number of bins a
-group needs from below: where the bound is met the group's bins are optimal.  Bins with
-a gap are opened again, and their pieces exchanged between the groups and packed anew,
-in ever fewer groups, until one group is left or a round saves nothing.
+group needs from below: where the bound is met the group is certified and final.  Bins
+with a gap of the other groups are opened again, and their pieces exchanged by a new deal
+and packed anew, until all groups are certified or a round saves nothing.
 """
 
 from __future__ import annotations
@@ -134,40 +134,44 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     remaining, done = sized.where(F.col("length") < capacity).select("pid", "length"), [full]
     groups_before, round_no, opened, opened_bins = 0, 0, None, 0
     while True:
-        n, tokens = remaining.agg(F.count(F.lit(1)), F.sum("length")).first()
+        n = remaining.count()
         if not n:
             break
-        groups = max(1, math.ceil(n / group_pieces))
-        if groups_before:  # fewer groups than before, or there is no one to exchange with
-            groups = min(groups, max(1, groups_before // 4))
+        groups = math.ceil(n / group_pieces)  # of bounded size in every round
         dealt = remaining.withColumn(
             "grp", F.pmod(F.xxhash64("pid", F.lit(round_no)), F.lit(groups)))
         placed = materialize(
             dealt.groupBy("grp").applyInPandas(_pack_group(capacity, round_no), PLACED), "packing")
-        # a group is certified where its bins meet its lower bound
-        per_bin = placed.groupBy("sequence_id").agg(
-            F.first("fill").alias("fill"), F.first("bound").alias("bound"))
-        per_group = per_bin.groupBy(F.shiftright("sequence_id", 28).alias("grp")).agg(
-            F.count(F.lit(1)).alias("bins"), F.first("bound").alias("bound"))
-        bins, bound = per_group.agg(F.sum("bins"), F.sum("bound")).first()
-        out = placed.select("pid", "sequence_id", "offset")
+        bins = group_bounds(placed).agg(F.sum("bins")).first()[0]
         round_no += 1
         if opened is not None and bins >= opened_bins:  # the exchange saved nothing
             done.append(opened)
             break
-        if groups == 1 or bins <= math.ceil(tokens / capacity):
-            done.append(out)
+        # a group that meets its bound is final, and so are full bins; the other bins of
+        # the other groups are opened again
+        certified = F.col("certified") | (F.col("fill") == capacity)
+        placed = placed.join(
+            group_bounds(placed).select("grp", (F.col("bins") == F.col("bound")).alias("certified")),
+            F.shiftright("sequence_id", 28) == F.col("grp"))
+        done.append(placed.where(certified).select("pid", "sequence_id", "offset"))
+        opened = placed.where(~certified).select("pid", "sequence_id", "offset")
+        if groups == 1 and groups_before < 2:  # there is no one to exchange with
+            done.append(opened)
             break
-        # gaps stay at most in the bins not quite full: those are exchanged
-        gap = F.col("fill") < capacity
-        done.append(placed.where(~gap).select("pid", "sequence_id", "offset"))
-        remaining = placed.where(gap).select("pid", "length")
-        opened = placed.where(gap).select("pid", "sequence_id", "offset")
-        opened_bins = per_bin.where(gap).count()
+        remaining = placed.where(~certified).select("pid", "length")
+        opened_bins = opened.agg(F.countDistinct("sequence_id")).first()[0]
         groups_before = groups
     return reduce(DataFrame.unionByName, done)
 
 
+def group_bounds(placed: DataFrame) -> DataFrame:
+    """(grp, bins, bound) of each packed group: its bins and the least number that any
+    packing of its pieces needs.  Where they are equal the group is certified."""
+    per_bin = placed.groupBy("sequence_id").agg(F.first("bound").alias("bound"))
+    return per_bin.groupBy(F.shiftright("sequence_id", 28).alias("grp")).agg(
+        F.count(F.lit(1)).alias("bins"), F.first("bound").alias("bound"))
+
+
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
            group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces of all documents with their sequence and place.

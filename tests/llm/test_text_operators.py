@@ -231,6 +231,31 @@ def test_lower_bounds_and_best_fit():
     assert packing.lower_bound(np.array([34] * 7), 100) == 4
 
 
+def test_certified_groups_are_final_and_others_exchange(spark):
+    """Pieces of 700 need half a bin each, which the bounds see; random pieces leave gaps
+    in small groups, and an exchange never needs more bins than the groups alone."""
+    halves = spark.range(600).select(F.col("id").alias("pid"), F.lit(700).cast("bigint").alias("length"))
+    got = packing.pack(halves, group_pieces=100).collect()
+    assert len(got) == 600 and 300 <= len({r["sequence_id"] for r in got}) <= 306
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(300, 1400, 900).tolist()
+    mixed = spark.createDataFrame(list(enumerate(sizes)), "pid bigint, length bigint")
+    got = packing.pack(mixed, group_pieces=60).collect()
+    assert sorted(r["pid"] for r in got) == list(range(900))
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], sizes[r["pid"]]))
+    for parts in bins.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert sum(n for _, n in parts) <= 2048
+    groups = mixed.withColumn("grp", F.pmod(F.xxhash64("pid", F.lit(0)), F.lit(15)))
+    alone = groups.groupBy("grp").applyInPandas(packing._pack_group(2048, 0), packing.PLACED)
+    bounds = packing.group_bounds(alone).collect()
+    assert len(bounds) == 15 and all(r["bound"] <= r["bins"] for r in bounds)
+    assert packing.lower_bound(np.array(sizes)) <= len(bins) <= sum(r["bins"] for r in bounds)
+
+
 def test_packing_empty(empty):
     assert packing.packed(empty).count() == 0
 
