@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from isoscope.llm.arrays import extended, worker_state
 
-CACHE_PIECES = 150_000  # words and pieces a worker remembers; each memory then starts afresh
+CACHE_PIECES = 300_000  # words and pieces a worker remembers; each memory then starts afresh
 GROUP_CHARS = 2_000_000  # texts whose new pieces are merged together
 VOCABULARY = "word_bpe_49k.json"
 
