@@ -23,7 +23,8 @@ from isoscope.plans.lineage import materialize
 from isoscope.sources.genome import (
     Genome,
     known_contigs,
-    region_sequences,
+    long_regions,
+    longer_than_pad,
     resolved_contig,
     short_regions,
 )
@@ -48,25 +49,31 @@ def region_table(events: DataFrame) -> DataFrame:
     return _regions(_placed(events), REGIONS, "chr")
 
 
-def region_text(events: DataFrame, genome: Genome) -> DataFrame:
-    """Non-empty region sequences in transcript orientation.
+def region_text(events: DataFrame, genome: Genome, tags: DataFrame | None = None) -> DataFrame:
+    """Non-empty region sequences in transcript orientation, with the other columns of
+    `tags` (event_id, …) where it is given; events without a tag then drop out.
 
     Flank and intron windows are bounded and need one lookup each; only the skipped
-    exon itself can be longer than the genome table's padding."""
+    exon itself can be longer than the genome table's padding.  Tags meet the events and
+    travel with the regions, so no sequence is shuffled to its tag."""
     slim = _placed(events).select(
         "event_id", "chr", "strand", "exon_start", "exon_end", "upstream_es", "upstream_ee",
         "downstream_es", "downstream_ee")
     named = resolved_contig(slim, known_contigs(genome))
-    exon = ["skipped_exon"]
-    bounded = _regions(named, [r for r in REGIONS if r not in exon], "contig")
-    if genome.pad >= FLANK_NT:
-        windows = short_regions(bounded, genome)
-    else:
-        windows = region_sequences(bounded, genome, ["event_id", "region"])
-    exons = region_sequences(_regions(named, exon, "contig"), genome, ["event_id", "region"])
-    return windows.unionByName(exons).select(
-        "event_id", "region", oriented(F.col("seq"), F.col("strand")).alias("seq")
-    ).where(F.col("seq") != "")
+    extra = [] if tags is None else [c for c in tags.columns if c != "event_id"]
+    tagged = named if tags is None else named.join(tags, "event_id")
+    within = short_regions(
+        _regions(tagged, REGIONS, "contig", *extra).where(~longer_than_pad(genome)), genome,
+        strand=F.col("strand"))
+    # pieces are glued by event and region, and only then tagged
+    may_be_long = ["skipped_exon"] if genome.pad >= FLANK_NT else REGIONS
+    glued = long_regions(_regions(named, may_be_long, "contig").where(longer_than_pad(genome)),
+                         genome, ["event_id", "region"])
+    if tags is not None:
+        glued = glued.join(tags, "event_id")
+    columns = ["event_id", "region", *extra, "seq"]
+    turned = glued.withColumn("seq", oriented(F.col("seq"), F.col("strand")))
+    return within.select(columns).unionByName(turned.select(columns)).where(F.col("seq") != "")
 
 
 def region_diagnostics(events: DataFrame) -> DataFrame:
@@ -89,24 +96,32 @@ def region_diagnostics(events: DataFrame) -> DataFrame:
     )
 
 
-def motif_hits(texts: DataFrame) -> DataFrame:
-    """Adds one row per motif: (…, motif_name, protein, hits, density).
+def motif_hits(texts: DataFrame, nested: bool = False) -> DataFrame:
+    """Adds one row per motif: (…, motif_name, protein, hits, density); or, `nested`, one
+    array column `motifs` of these in catalogue order to each sequence.
 
     The 19 counts of a sequence come from one vectorised pass and are only then
     turned into rows.
     """
     counted = texts.withColumn("_hits", motif_counter([p for _, _, p in MOTIFS])("seq"))
-    rows = F.array(*[
+    rest = [c for c in texts.columns if c != "seq"]
+    counted = counted.select(*rest, F.length("seq").alias("_nt"), "_hits")
+    density = lambda hits, width: F.least(F.lit(1.0), hits * width / F.col("_nt"))
+    # a row per motif gets its density afterwards: arrays of finished rows cost more
+    later = lambda hits, width: [density(hits, width).alias("density")] if nested else [
+        width.alias("width")]
+    motifs = F.array(*[
         F.struct(
             F.lit(name).alias("motif_name"), F.lit(protein).alias("protein"),
-            F.lit(motif_width(pattern)).alias("width"), F.col(f"_hits.m{i}").alias("hits"),
+            F.col(f"_hits.m{i}").alias("hits"),
+            *later(F.col(f"_hits.m{i}"), F.lit(motif_width(pattern))),
         )
         for i, (name, protein, pattern) in enumerate(MOTIFS)
     ])
-    rest = [c for c in texts.columns if c != "seq"]
-    long = counted.select(*rest, F.length("seq").alias("_nt"), F.inline(rows))
-    density = F.least(F.lit(1.0), F.col("hits") * F.col("width") / F.col("_nt"))
-    return long.withColumn("density", density).drop("_nt", "width")
+    if nested:
+        return counted.select(*rest, motifs.alias("motifs"))
+    long = counted.select(*rest, "_nt", F.inline(motifs))
+    return long.withColumn("density", density(F.col("hits"), F.col("width"))).drop("_nt", "width")
 
 
 CELL = ["motif_name", "protein", "region"]
@@ -137,7 +152,7 @@ def scan_summary(densities: DataFrame) -> DataFrame:
 def tagged_texts(events: DataFrame, tags: DataFrame, genome: Genome) -> DataFrame:
     """Region sequences with `in_a` = significant."""
     marked = tags.select("event_id", F.col("is_significant").alias("in_a"))
-    return region_text(events, genome).join(marked, "event_id")
+    return region_text(events, genome, marked)
 
 
 def compare_groups(densities: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoscope.functions.catalogue import CONTIG_ALIAS, literal_map
+from isoscope.functions.sequence import reverse_complement
 
 
 class Genome(NamedTuple):
@@ -101,50 +102,76 @@ def known_contigs(genome: Genome) -> DataFrame:
     return contigs(genome.table) if genome.names is None else genome.names
 
 
-def _piece(genome: Genome, regions: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Adds `_text`: the sequence of [start, end), at most `pad` long."""
+def _piece(
+    genome: Genome, regions: DataFrame, start: Column, end: Column, strand: Column | None = None
+) -> DataFrame:
+    """Adds `_text`: the sequence of [start, end), at most `pad` long; with `strand`, in its
+    orientation.  Rows of the genome are complemented, not each region."""
     located = regions.withColumn("_s", start).withColumn("_e", end).withColumn(
         "wide_id", F.floor(F.col("_s") / genome.width)
     )
     table = genome.table.withColumnRenamed("seq", "_wide")
+    if strand is not None:
+        table = table.withColumn("_minus", reverse_complement(F.col("_wide")))
     joined = located.join(table, ["contig", "wide_id"], "left")
-    offset = (F.col("_s") - F.col("wide_id") * genome.width + 1).cast("int")
-    text = F.substring(F.col("_wide"), offset, (F.col("_e") - F.col("_s")).cast("int"))
+    offset = (F.col("_s") - F.col("wide_id") * genome.width).cast("int")
+    size = (F.col("_e") - F.col("_s")).cast("int")
+    text = F.substring(F.col("_wide"), offset + 1, size)
+    if strand is not None:
+        # behind the end of a contig there is nothing to read from the other side
+        held = F.greatest(F.least(size, F.length("_wide") - offset), F.lit(0))
+        text = F.when(strand == "-", F.substring(
+            F.col("_minus"), F.length("_wide") - offset - held + 1, held)).otherwise(text)
     return joined.withColumn("_text", F.coalesce(text, F.lit(""))).drop(
-        "_wide", "_s", "_e", "wide_id"
+        "_wide", "_minus", "_s", "_e", "wide_id"
     )
 
 
-def short_regions(regions: DataFrame, genome: Genome, name: str = "seq") -> DataFrame:
-    """Sequence of regions (contig, start, end) known to be at most `pad` long.
+def short_regions(
+    regions: DataFrame, genome: Genome, name: str = "seq", strand: Column | None = None
+) -> DataFrame:
+    """Sequence of regions (contig, start, end) known to be at most `pad` long, read along
+    `strand` where it is given.
 
     A negative start is clamped, the contig end truncates, and an empty interval
     or unknown contig gives an empty string.
     """
     start = F.greatest(F.col("start"), F.lit(0))
-    out = _piece(genome, regions, start, F.col("end"))
+    out = _piece(genome, regions, start, F.col("end"), strand)
     return out.withColumnRenamed("_text", name)
 
 
-def region_sequences(
+def longer_than_pad(genome: Genome) -> Column:
+    """Whether a region (start, end) needs several rows of the genome."""
+    length = F.col("end") - F.greatest(F.col("start"), F.lit(0))
+    return F.coalesce(length > genome.pad, F.lit(False))
+
+
+def long_regions(
     regions: DataFrame, genome: Genome, keys: list[str], name: str = "seq"
 ) -> DataFrame:
-    """Sequence of regions of any length; `keys` identify a region.  Only the
-    regions longer than `pad` pay the shuffle that glues their pieces."""
-    length = F.col("end") - F.greatest(F.col("start"), F.lit(0))
-    long_one = F.coalesce(length > genome.pad, F.lit(False))
-    short = short_regions(regions.where(~long_one), genome, name)
+    """Sequence of regions longer than `pad`, glued from pieces; `keys` identify a region."""
     start = F.greatest(F.col("start"), F.lit(0))
-    cut = regions.where(long_one).withColumn(
+    length = F.col("end") - start
+    cut = regions.withColumn(
         "_piece", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / genome.pad).cast("int")))
     )
     first = start + F.col("_piece") * genome.pad
     pieces = _piece(genome, cut, first, F.least(first + genome.pad, F.col("end")))
     rest = [c for c in regions.columns if c not in keys]
-    glued = pieces.groupBy(*keys).agg(
+    return pieces.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in rest],
         F.array_sort(F.collect_list(F.struct("_piece", "_text"))).alias("_parts"),
     ).withColumn(name, F.array_join(F.col("_parts._text"), "")).drop("_parts")
+
+
+def region_sequences(
+    regions: DataFrame, genome: Genome, keys: list[str], name: str = "seq"
+) -> DataFrame:
+    """Sequence of regions of any length; `keys` identify a region.  Only the
+    regions longer than `pad` pay the shuffle that glues their pieces."""
+    short = short_regions(regions.where(~longer_than_pad(genome)), genome, name)
+    glued = long_regions(regions.where(longer_than_pad(genome)), genome, keys, name)
     return short.unionByName(glued.select(short.columns))
 
 
@@ -164,7 +191,8 @@ def resolved_contig(regions: DataFrame, known: DataFrame, chrom: str = "chr") ->
         .join(known, "contig")
         .groupBy(chrom).agg(F.min(F.struct("_pos", "contig"))["contig"].alias("contig"))
     )
-    return regions.join(found, chrom, "left")
+    # no larger than the genome's own list of contigs and their aliases
+    return regions.join(F.broadcast(found), chrom, "left")
 
 
 # -- one-off conversion of an indexed FASTA -----------------------------------------
