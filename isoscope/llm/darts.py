@@ -11,8 +11,9 @@ Bands of the signature are joined as keys.  In each bucket the members are tied
 least and its largest document, so a bucket costs links in proportion to its size.
 What these links leave in different classes is compared pair by pair in small buckets;
 members of crowded ones are tied to central and drawn pivots, in rounds, and meet again
-in the buckets of their shingles.  So the number of pairs stays in proportion to the
-rows.  Signatures decide clear cases; a pair that is not clear is compared exactly.
+in the buckets of their shingles.  So the number of these pairs stays in proportion to
+the rows.  What the rounds leave in different classes of one shingle bucket is compared
+in full.  Signatures decide clear cases; a pair that is not clear is compared exactly.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ COORDINATES = BANDS * ROWS
 SIMILARITY = 0.8
 # five standard errors of the signature's estimate around the threshold
 MARGIN = 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
-CROWD = 8  # members of a bucket up to which all of its pairs are compared
+CROWD = 8  # members of a bucket up to which all of its pairs are compared at once
+PART = 1000  # members of a class in a bucket that are held together
 DYADIC = 12  # rank bands below 1: [0, 2^-12), [2^-12, 2^-11) ... [1/2, 1); then unit bands
 
 
@@ -176,6 +178,22 @@ def meeting_pairs(rows: DataFrame, crowd: int = CROWD, salt: int = 0) -> DataFra
     return small.unionByName(tied.distinct()).distinct()
 
 
+def remaining_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b, of ALL members of different classes that meet in a bucket,
+    from rows (key, doc_id, class, n): the exact way for crowded buckets, once pivots find
+    no more.
+
+    Members of a bucket are held by class, in parts of about PART, and parts of different
+    classes meet; so a class of near copies costs no pairs of its own.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / PART))
+    held = rows.groupBy("key", "class", part.alias("part")).agg(F.collect_list("doc_id").alias("docs"))
+    side = lambda c: held.select("key", F.col("class").alias(f"c{c}"), F.col("docs").alias(c))
+    met = side("x").join(side("y"), "key").where("cx < cy")
+    each = met.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    return each.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def mixed(rows: DataFrame) -> DataFrame:
     """The rows (key, doc_id, class) of buckets that hold several classes, with their
     number `n` of members.  Written."""
@@ -249,27 +267,34 @@ def further_links(shared: DataFrame, known: DataFrame, worded: DataFrame, docs:
     threshold.  Two of them that are near duplicates share content that few others
     have, or are both close to the family's centre.  So they are looked for in the
     buckets of their shingles as well, by the same rule.  Rounds end when one finds no
-    link; no pair is compared twice.
+    link.  By then most links are known and their ends in one class; a last step compares
+    every pair of different classes that still shares a shingle bucket, so that no link
+    depends on the choice of pivots.  No pair is compared twice.
     """
     links, tried, salt = known, None, 0
+    untried = lambda pairs: pairs if tried is None else pairs.join(
+        tried, ["a", "b"], "left_anti")
     while True:
         label = components(links)
         rows = open_buckets(shared, label)
         crowded = materialize(
             rows.where(F.col("n") > CROWD).select("doc_id", "class").distinct(), "crowded")
         content = content_buckets(crowded, docs, similarity)
-        pairs = meeting_pairs(rows, salt=salt).unionByName(
-            meeting_pairs(content, salt=salt)).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "further-pairs")
-        discard(rows, content, crowded)
+        pairs = materialize(untried(meeting_pairs(rows, salt=salt).unionByName(
+            meeting_pairs(content, salt=salt)).distinct()), "further-pairs")
         found = linked(pairs, worded, docs, similarity, margin)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        discard(rows, crowded)
         if found.isEmpty():
-            return label
+            break
+        discard(content)
         links = links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
         salt += 1
+    rest = materialize(untried(remaining_pairs(content)), "remaining-pairs")
+    discard(content)
+    found = linked(rest, worded, docs, similarity, margin)
+    discard(rest)
+    return label if found.isEmpty() else components(links.unionByName(found))
 
 
 def estimated(links: DataFrame, reps: DataFrame) -> DataFrame:
@@ -351,7 +376,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, margin: float = MAR
     what is clearly alike by signature forms first classes, and the bucket links that
     still run between classes are compared exactly.  Last, what is still in different
     classes of one bucket is compared: all pairs of small buckets, the members of crowded
-    ones with pivots and with those who share their content (`further_links`).
+    ones with pivots, and with all who share their content (`further_links`).
 
     A null doc_id gets a null class; rows with one doc_id are one document; texts
     without words (null, empty, symbols) are linked only where they are equal.
