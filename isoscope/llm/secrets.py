@@ -24,7 +24,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from isoscope.llm.arrays import extended
+from isoscope.llm.arrays import extended, release_memory
 
 KINDS = ["assign", "access", "hex", "oversize"]
 
@@ -320,6 +320,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 MARK = "[secret]"
+ROWS = 1000  # texts of a batch that are masked at once
 
 
 def masked(text: str, mark: str = MARK) -> str:
@@ -336,13 +337,16 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame
     """The same rows and columns with secrets masked; null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = pa.array(
-                [None if t is None else masked(t, mark) for t in batch.column(text).to_pylist()],
-                pa.string())
-            at = batch.schema.names.index(text)
-            yield pa.RecordBatch.from_arrays(
-                [clean if i == at else c for i, c in enumerate(batch.columns)],
-                batch.schema.names)
+        release_memory()  # of the stages that this worker has served
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                clean = pa.array(
+                    [None if t is None else masked(t, mark) for t in batch.column(text).to_pylist()],
+                    pa.string())
+                at = batch.schema.names.index(text)
+                yield pa.RecordBatch.from_arrays(
+                    [clean if i == at else c for i, c in enumerate(batch.columns)],
+                    batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

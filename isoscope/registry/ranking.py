@@ -75,7 +75,9 @@ def i3_small(spark, sf):
 def i4(spark, sf):
     from isoscope.plans.prefix import row_numbers
 
-    numbered = row_numbers(fx.events(spark, sf), rk.genome_order(), "rn")
+    # the order's own columns: the numbered rows are written once
+    keyed = fx.events(spark, sf).select("event_id", "chr", "exon_start")
+    numbered = row_numbers(keyed, rk.genome_order(), "rn")
     return rk.in_genome_order(numbered).select("event_id", "rn")
 
 
