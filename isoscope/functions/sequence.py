@@ -138,3 +138,50 @@ def motif_counter(patterns: list[str]):
         return pd.DataFrame(columns)
 
     return count
+
+
+def hits_in_rows(patterns: list[str], texts: list[bytes], code: np.ndarray, start: np.ndarray,
+                 end: np.ndarray, minus: np.ndarray) -> list[np.ndarray]:
+    """Overlapping hits per pattern in the ranges [start, end) of texts[code], read along the
+    other strand where `minus` is set.
+
+    Running counts of the hits along a text serve all ranges in it; the part of a text that
+    no range of a strand reaches is left out.
+    """
+    table = bytes.maketrans(COMPLEMENT_FROM.encode(), COMPLEMENT_TO.encode())
+    out = [np.zeros(len(code), np.int32) for _ in patterns]
+    for strand in (False, True):
+        chosen = np.flatnonzero((minus == strand) & (end > start))
+        if not len(chosen):
+            continue
+        of, lo, hi = code[chosen], start[chosen], end[chosen]
+        first, last = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), np.int64)
+        np.minimum.at(first, of, lo)
+        np.maximum.at(last, of, hi)
+        used = np.flatnonzero(last > 0)
+        parts = [texts[i][first[i]:last[i]] for i in used]
+        joined = b"\n".join([*parts, b""])
+        blob = np.frombuffer(joined.translate(table) if strand else joined, np.uint8)
+        size = last[used] - first[used] + 1
+        base = np.zeros(len(texts), np.int64)
+        base[used] = np.cumsum(size) - size - first[used]
+        lo, hi = lo + base[of], hi + base[of]
+        masks: dict[str, np.ndarray] = {}
+        for i, pattern in enumerate(patterns):
+            sets = _base_sets(pattern)
+            sets = sets[::-1] if strand else sets
+            span = len(blob) - len(sets) + 1
+            if span <= 0:
+                continue
+            match = np.ones(span, bool)
+            for k, letters in enumerate(sets):
+                if letters not in masks:
+                    accepted = np.zeros(256, bool)
+                    accepted[list(letters.encode())] = True
+                    masks[letters] = accepted[blob]
+                match &= masks[letters][k:k + span]
+            total = np.zeros(span + 1, np.int32)
+            np.cumsum(match, out=total[1:])
+            stop = np.minimum(np.maximum(hi - len(sets) + 1, lo), span)
+            out[i][chosen] = total[stop] - total[np.minimum(lo, span)]
+    return out

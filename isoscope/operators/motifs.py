@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoscope.functions.catalogue import (
@@ -17,7 +21,7 @@ from isoscope.functions.catalogue import (
 )
 from isoscope.functions.coordinates import KNOWN, as_long, is_plus, scan_regions
 from isoscope.functions.labels import min_q
-from isoscope.functions.sequence import motif_counter, oriented
+from isoscope.functions.sequence import hits_in_rows, motif_counter, oriented
 from isoscope.operators.hypothesis import benjamini_hochberg, mann_whitney, with_proportion_test
 from isoscope.plans.lineage import materialize
 from isoscope.sources.genome import (
@@ -27,6 +31,7 @@ from isoscope.sources.genome import (
     longer_than_pad,
     resolved_contig,
     short_regions,
+    with_rows,
 )
 
 
@@ -49,31 +54,106 @@ def region_table(events: DataFrame) -> DataFrame:
     return _regions(_placed(events), REGIONS, "chr")
 
 
-def region_text(events: DataFrame, genome: Genome, tags: DataFrame | None = None) -> DataFrame:
-    """Non-empty region sequences in transcript orientation, with the other columns of
-    `tags` (event_id, …) where it is given; events without a tag then drop out.
-
-    Flank and intron windows are bounded and need one lookup each; only the skipped
-    exon itself can be longer than the genome table's padding.  Tags meet the events and
-    travel with the regions, so no sequence is shuffled to its tag."""
+def _short_and_glued(events: DataFrame, genome: Genome, tags: DataFrame | None
+                     ) -> tuple[DataFrame, DataFrame]:
+    """Regions (…, contig, strand, start, end) that lie in one row of the genome, and the
+    sequences of the others in transcript orientation."""
     slim = _placed(events).select(
         "event_id", "chr", "strand", "exon_start", "exon_end", "upstream_es", "upstream_ee",
         "downstream_es", "downstream_ee")
     named = resolved_contig(slim, known_contigs(genome))
     extra = [] if tags is None else [c for c in tags.columns if c != "event_id"]
     tagged = named if tags is None else named.join(tags, "event_id")
-    within = short_regions(
-        _regions(tagged, REGIONS, "contig", *extra).where(~longer_than_pad(genome)), genome,
-        strand=F.col("strand"))
+    within = _regions(tagged, REGIONS, "contig", *extra).where(~longer_than_pad(genome))
     # pieces are glued by event and region, and only then tagged
     may_be_long = ["skipped_exon"] if genome.pad >= FLANK_NT else REGIONS
     glued = long_regions(_regions(named, may_be_long, "contig").where(longer_than_pad(genome)),
                          genome, ["event_id", "region"])
     if tags is not None:
         glued = glued.join(tags, "event_id")
-    columns = ["event_id", "region", *extra, "seq"]
     turned = glued.withColumn("seq", oriented(F.col("seq"), F.col("strand")))
-    return within.select(columns).unionByName(turned.select(columns)).where(F.col("seq") != "")
+    return within, turned.select("event_id", "region", *extra, "seq")
+
+
+def region_text(events: DataFrame, genome: Genome, tags: DataFrame | None = None) -> DataFrame:
+    """Non-empty region sequences in transcript orientation, with the other columns of
+    `tags` (event_id, …) where it is given; events without a tag then drop out.
+
+    Flank and intron windows are bounded and need one lookup each; only the skipped
+    exon itself can be longer than the genome table's padding.  Tags meet the events and
+    travel with the regions, so no sequence is shuffled to its tag."""
+    within, glued = _short_and_glued(events, genome, tags)
+    texts = short_regions(within, genome, strand=F.col("strand"))
+    return texts.select(glued.columns).unionByName(glued).where(F.col("seq") != "")
+
+
+HITS = "struct<" + ",".join(f"m{i}:int" for i in range(len(MOTIFS))) + ">"
+SCAN_ROWS, SCAN_BYTES = 200_000, 1 << 22  # regions and genome text that are counted together
+
+
+def region_hits(events: DataFrame, genome: Genome, tags: DataFrame | None = None) -> DataFrame:
+    """(event_id, region, …, nt, hits): length of each region of `region_text` and its hits
+    of all motifs as a struct m0, m1, …
+
+    Regions of one genome row overlap, so a motif is looked for once in the row, not in
+    each region: hits are differences of running counts."""
+    within, glued = _short_and_glued(events, genome, tags)
+    kept = [c for c in glued.columns if c != "seq"]
+    rows = with_rows(within, genome).select(*kept, (F.col("strand") == "-").alias("_minus"),
+                                            "_wide", "_offset", "_size")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, codes, size, n = [], {}, 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            code, lo, count, minus = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
+            texts = list(codes)
+            hi = np.minimum(lo + count, np.array([len(t) for t in texts])[code])
+            counts = hits_in_rows([p for _, _, p in MOTIFS], texts, code, np.minimum(lo, hi), hi, minus)
+            at = 0
+            for h in held:
+                part = slice(at, at + len(h[1]))
+                at = part.stop
+                some = pa.array((hi - lo)[part] > 0)
+                hits = pa.StructArray.from_arrays(
+                    [pa.array(c[part]) for c in counts], [f"m{i}" for i in range(len(counts))])
+                yield pa.RecordBatch.from_arrays(
+                    [*h[0], pa.array((hi - lo)[part].astype(np.int32)), hits],
+                    [*kept, "nt", "hits"]).filter(some)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wide = batch.column("_wide").dictionary_encode()
+            to = []
+            for text in wide.dictionary.to_pylist():
+                text = text.encode("ascii", "replace")
+                if text not in codes:
+                    codes[text] = len(codes)
+                    size += len(text)
+                to.append(codes[text])
+            number = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append(([batch.column(c) for c in kept],
+                         np.array(to)[wide.indices.to_numpy(zero_copy_only=False)],
+                         number("_offset"), number("_size"),
+                         batch.column("_minus").to_numpy(zero_copy_only=False)))
+            n += batch.num_rows
+            if n >= SCAN_ROWS or size >= SCAN_BYTES:
+                yield from flush()
+                held, codes, size, n = [], {}, 0, 0
+        if held:
+            yield from flush()
+
+    short = rows.mapInArrow(run, f"{schema}, nt int, hits {HITS}")
+    return short.unionByName(_counted(glued.where(F.col("seq") != "")))
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """The 19 counts of a sequence come from one vectorised pass."""
+    rest = [c for c in texts.columns if c != "seq"]
+    return texts.withColumn("hits", motif_counter([p for _, _, p in MOTIFS])("seq")).select(
+        *rest, F.length("seq").alias("nt"), "hits")
 
 
 def region_diagnostics(events: DataFrame) -> DataFrame:
@@ -96,42 +176,39 @@ def region_diagnostics(events: DataFrame) -> DataFrame:
     )
 
 
-def motif_hits(texts: DataFrame, nested: bool = False) -> DataFrame:
-    """Adds one row per motif: (…, motif_name, protein, hits, density); or, `nested`, one
-    array column `motifs` of these in catalogue order to each sequence.
-
-    The 19 counts of a sequence come from one vectorised pass and are only then
-    turned into rows.
-    """
-    counted = texts.withColumn("_hits", motif_counter([p for _, _, p in MOTIFS])("seq"))
+def motif_hits(texts: DataFrame) -> DataFrame:
+    """Adds one row per motif: (…, motif_name, protein, hits, density)."""
     rest = [c for c in texts.columns if c != "seq"]
-    counted = counted.select(*rest, F.length("seq").alias("_nt"), "_hits")
-    density = lambda hits, width: F.least(F.lit(1.0), hits * width / F.col("_nt"))
     # a row per motif gets its density afterwards: arrays of finished rows cost more
-    later = lambda hits, width: [density(hits, width).alias("density")] if nested else [
-        width.alias("width")]
-    motifs = F.array(*[
-        F.struct(
-            F.lit(name).alias("motif_name"), F.lit(protein).alias("protein"),
-            F.col(f"_hits.m{i}").alias("hits"),
-            *later(F.col(f"_hits.m{i}"), F.lit(motif_width(pattern))),
-        )
-        for i, (name, protein, pattern) in enumerate(MOTIFS)
-    ])
-    if nested:
-        return counted.select(*rest, motifs.alias("motifs"))
-    long = counted.select(*rest, "_nt", F.inline(motifs))
-    return long.withColumn("density", density(F.col("hits"), F.col("width"))).drop("_nt", "width")
+    long = _counted(texts).withColumnRenamed("hits", "_hits").select(*rest, "nt", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("motif_name"), F.lit(protein).alias("protein"),
+                 F.col(f"_hits.m{i}").alias("hits"), F.lit(motif_width(pattern)).alias("width"))
+        for i, (name, protein, pattern) in enumerate(MOTIFS)])))
+    return long.withColumn("density", density(F.col("hits"), F.col("width"))).drop("nt", "width")
+
+
+def density(hits: Column, width: Column) -> Column:
+    """Covered share of a region of `nt` bases."""
+    return F.least(F.lit(1.0), hits * width / F.col("nt"))
 
 
 CELL = ["motif_name", "protein", "region"]
 
 
-def density_table(texts: DataFrame) -> DataFrame:
-    """Counts per (motif, region, density) and group: the only thing the tests need."""
-    return motif_hits(texts).groupBy(*CELL, F.col("density").alias("value")).agg(
-        F.count_if("in_a").alias("n_a"), F.count_if(~F.col("in_a")).alias("n_b")
-    )
+def density_table(counted: DataFrame) -> DataFrame:
+    """Counts per (motif, region, density) and group: the only thing the tests need.  Rows
+    of `region_hits` are counted by whole numbers, names and densities come afterwards."""
+    each = F.posexplode(F.array(*[f"hits.m{i}" for i in range(len(MOTIFS))])).alias("_motif", "_n")
+    cells = counted.select("region", "in_a", "nt", each).groupBy("region", "nt", "_motif", "_n").agg(
+        F.count_if("in_a").alias("n_a"), F.count_if(~F.col("in_a")).alias("n_b"))
+    motif = F.get(F.array(*[
+        F.struct(F.lit(name).alias("motif_name"), F.lit(protein).alias("protein"),
+                 F.lit(motif_width(pattern)).alias("width"))
+        for name, protein, pattern in MOTIFS]), F.col("_motif"))
+    return cells.withColumn("_m", motif).select(
+        "_m.motif_name", "_m.protein", "region", density(F.col("_n"), F.col("_m.width")).alias("value"),
+        "n_a", "n_b",
+    ).groupBy(*CELL, "value").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
 
 
 def scan_summary(densities: DataFrame) -> DataFrame:
@@ -155,6 +232,12 @@ def tagged_texts(events: DataFrame, tags: DataFrame, genome: Genome) -> DataFram
     return region_text(events, genome, marked)
 
 
+def tagged_hits(events: DataFrame, tags: DataFrame, genome: Genome) -> DataFrame:
+    """Hits of the regions with `in_a` = significant."""
+    marked = tags.select("event_id", F.col("is_significant").alias("in_a"))
+    return region_hits(events, genome, marked)
+
+
 def compare_groups(densities: DataFrame) -> DataFrame:
     """All 133 (motif, region) rows: presence z-test and density rank test, each
     adjusted as its own family on unrounded p-values and rounded afterwards."""
@@ -197,8 +280,8 @@ def with_regulatory_effect(rows: DataFrame) -> DataFrame:
 
 
 def motif_enrichment(events: DataFrame, tags: DataFrame, genome: Genome) -> DataFrame:
-    """The whole screen: regions -> sequences -> counts -> tests -> annotation."""
-    densities = materialize(density_table(tagged_texts(events, tags, genome)), "densities")
+    """The whole screen: regions -> counts -> tests -> annotation."""
+    densities = materialize(density_table(tagged_hits(events, tags, genome)), "densities")
     return with_regulatory_effect(compare_groups(densities))
 
 

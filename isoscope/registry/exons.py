@@ -338,9 +338,11 @@ hits AS (SELECT event_id, region, nt, motif_name, protein, width, c[i] AS hits F
 
 def _by_motif(spark, sf, value):
     """One row per region with the value of all motifs in catalogue order."""
-    texts = motifs.region_text(fx.events(spark, sf), fx.genome(spark, sf))
-    line = F.concat_ws(",", *[value(F.col("motifs")[i]).cast("string") for i in range(len(MOTIFS))])
-    rows = motifs.motif_hits(texts, nested=True).select("event_id", "region", line.alias("line"))
+    line = F.concat_ws(",", *[
+        value(F.col(f"hits.m{i}"), F.lit(motif_width(pattern))).cast("string")
+        for i, (_, _, pattern) in enumerate(MOTIFS)])
+    rows = motifs.region_hits(fx.events(spark, sf), fx.genome(spark, sf)).select(
+        "event_id", "region", line.alias("line"))
     # rows of one event_id are listed together, motif by motif
     lists = F.transform("lines", lambda v: F.split(v, ","))
     together = F.array_join(F.flatten(F.transform(
@@ -353,12 +355,14 @@ def _by_motif(spark, sf, value):
 
 @query("e18_overlapping_motif_hits", SCAN_SQL + HIT_SQL + "SELECT event_id, region, array_to_string(c, ',') AS per_motif FROM wide")
 def e18(spark, sf):
-    return _by_motif(spark, sf, lambda m: m["hits"])
+    return _by_motif(spark, sf, lambda hits, width: hits)
 
 
 @query("e19_motif_density", SCAN_SQL + HIT_SQL + "SELECT event_id, region, string_agg(cast(cast(round(least(1.0, hits * width / cast(nt AS double)) * 1000000) AS bigint) AS varchar), ',' ORDER BY m.i) AS per_motif FROM hits JOIN (SELECT i, motif_name FROM m) m USING (motif_name) GROUP BY event_id, region")
 def e19(spark, sf):
-    return _by_motif(spark, sf, lambda m: F.round(m["density"] * 1000000).cast("bigint"))
+    # at least 0 and far below 2^52, where this is round() without decimals in between
+    return _by_motif(spark, sf, lambda hits, width: F.floor(
+        motifs.density(hits, width) * 1000000 + 0.5))
 
 
 _CHR_SQL = "CASE event_id % 9 WHEN 0 THEN 'chrUn_' || cast(event_id % 3 AS varchar) WHEN 1 THEN 'CHRMT' WHEN 2 THEN substr(chr, 4) WHEN 3 THEN NULL WHEN 4 THEN 'chr01' ELSE chr END"

@@ -35,13 +35,13 @@ enriched AS (SELECT {_CELLS}, cast(k1 AS bigint) AS sig_hit_count, cast(n1 AS bi
 """
 
 
-def _texts(spark, sf):
-    return mo.tagged_texts(fx.events(spark, sf), fx.tags(spark, sf), fx.genome(spark, sf))
+def _hits(spark, sf):
+    return mo.tagged_hits(fx.events(spark, sf), fx.tags(spark, sf), fx.genome(spark, sf))
 
 
 @query("f15_motif_scan", _ALL + f"SELECT {_CELLS}, sig AS in_a, count(*) FILTER (WHERE hits > 0) AS hit_count, count(*) AS total, round(avg(v), 9) AS mean_density FROM dens GROUP BY ALL")
 def f15(spark, sf):
-    return mo.scan_summary(mo.density_table(_texts(spark, sf))).withColumn(
+    return mo.scan_summary(mo.density_table(_hits(spark, sf))).withColumn(
         "mean_density", F.round("mean_density", 9))
 
 
@@ -73,7 +73,7 @@ _QMIN = "least(p_adjusted, density_p_adjusted)"
 @query("d15_group_lookup", _ALL + f"""SELECT a.motif_name, a.region, a.n AS n_sig, b.n AS n_bg FROM (SELECT motif_name, region, count(*) AS n FROM dens WHERE sig GROUP BY ALL) a
   JOIN (SELECT motif_name, region, count(*) AS n FROM dens WHERE NOT sig GROUP BY ALL) b USING (motif_name, region)""")
 def d15(spark, sf):
-    d = mo.scan_summary(mo.density_table(_texts(spark, sf)))
+    d = mo.scan_summary(mo.density_table(_hits(spark, sf)))
     side = lambda flag, name: d.where(F.col("in_a") == flag).select(
         "motif_name", "region", F.col("total").alias(name))
     return side(True, "n_sig").join(side(False, "n_bg"), ["motif_name", "region"])

@@ -141,6 +141,16 @@ def short_regions(
     return out.withColumnRenamed("_text", name)
 
 
+def with_rows(regions: DataFrame, genome: Genome) -> DataFrame:
+    """Regions (contig, start, end) known to be at most `pad` long, with the genome row `_wide`
+    that holds them and their place `_offset` and `_size` in it; unknown contigs drop out."""
+    begin = F.greatest(F.col("start"), F.lit(0))
+    located = regions.withColumn("wide_id", F.floor(begin / genome.width))
+    joined = located.join(genome.table.withColumnRenamed("seq", "_wide"), ["contig", "wide_id"])
+    return joined.withColumn("_offset", (begin - F.col("wide_id") * genome.width).cast("int")).withColumn(
+        "_size", (F.col("end") - begin).cast("int")).drop("wide_id")
+
+
 def longer_than_pad(genome: Genome) -> Column:
     """Whether a region (start, end) needs several rows of the genome."""
     length = F.col("end") - F.greatest(F.col("start"), F.lit(0))

@@ -76,3 +76,29 @@ def test_a_region_stays_one_row(spark, tmp_path):
     # one generator makes regions of events; none makes rows of motifs to be gathered again
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "motif_name" not in plan
+
+
+def test_hits_of_regions_equal_those_of_their_sequences(spark, monkeypatch):
+    genome = _genome(spark)
+    places = [(800 + 7 * i, 800 + 7 * i + n) for i, n in enumerate((1, 2, 3, 7, 60, 90, 230, 700))]
+    events = _events(spark, [(i, s, a, b) for i, (s, (a, b)) in enumerate(
+        (s, p) for s in ("+", "-", None) for p in [*places, *places, (100, 160), (2450, 2600)])])
+    tags = spark.range(40).selectExpr("id AS event_id", "CASE WHEN id % 5 > 0 THEN id % 2 = 0 END AS in_a")
+    names = {n: i for i, (n, _, _) in enumerate(mo.MOTIFS)}
+    late = sorted((r["event_id"], r["region"], str(r["in_a"]), names[r["motif_name"]], r["hits"]) for r in mo.motif_hits(
+        mo.region_text(events, genome, tags)).collect())
+    for rows in (200_000, 3):  # counted all together and a few at a time
+        monkeypatch.setattr(mo, "SCAN_ROWS", rows)
+        got = sorted((r["event_id"], r["region"], str(r["in_a"]), i, r["hits"][i]) for r in mo.region_hits(
+            events, genome, tags).collect() for i in names.values())
+        assert got == late and any(h for *_, h in got)
+
+
+def test_short_regions_are_counted_in_the_genome_row(spark):
+    genome = _genome(spark)
+    events = _events(spark, [(1, "+", 800, 900), (2, "-", 800, 900)])
+    plan = mo.region_hits(events, genome)._jdf.queryExecution().optimizedPlan().toString()
+    # only the exons longer than the padding have a sequence of their own
+    assert plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 1
+    # and no row of the genome is turned around
+    assert "translate(_wide" not in plan
