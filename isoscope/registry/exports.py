@@ -68,8 +68,13 @@ _EXPORT = ", ".join(f"f.{c}" for c in ex.FEATURE_EXPORT)
 @query("l4_significant_export", ANNOT + f"""SELECT {', '.join('e.' + c for c in ex.EVENT_EXPORT)}, abs(e.inc_level_difference) AS abs_inc_level_diff, {_EXPORT}, coalesce(panel_confidence, '') AS panel_confidence, coalesce(panel_names, '') AS panel_names,
   coalesce(go_bp, '') AS go_bp, coalesce(go_mf, '') AS go_mf, coalesce(go_cc, '') AS go_cc FROM splice_events e LEFT JOIN features f USING (event_id) LEFT JOIN ptop ON ptop.symbol = gene_symbol LEFT JOIN gtop ON gtop.symbol = gene_symbol WHERE {SIG}""")
 def l4(spark, sf):
+    # features of the exported events; rows of one event_id keep theirs together
+    events = fx.events(spark, sf)
+    wanted = events.where(fx.significant()).select("event_id")
+    features = ft.compute_features(
+        events.join(wanted, "event_id", "left_semi"), fx.models(spark, sf), fx.genome(spark, sf))
     return ex.significant_export(
-        fx.events(spark, sf), fx.features(spark, sf), fx.significant(),
+        events, features, fx.significant(),
         {"panels": an.panel_summary(fx.panels(spark, sf)), "go": an.go_summary(fx.go(spark, sf))})
 
 
