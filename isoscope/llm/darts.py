@@ -13,7 +13,8 @@ What these links leave in different classes is compared pair by pair in small bu
 members of crowded ones are tied to central and drawn pivots, in rounds, and meet again
 in the buckets of their shingles.  So the number of these pairs stays in proportion to
 the rows.  What the rounds leave in different classes of one shingle bucket is compared
-in full.  Signatures decide clear cases; a pair that is not clear is compared exactly.
+in full, but for pairs whose sizes and places there rule the threshold out.  Signatures
+decide clear cases; a pair that is not clear is compared exactly.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoscope.llm.arrays import U, blocks, mix, shingles, window_hashes
@@ -36,7 +37,9 @@ SIMILARITY = 0.8
 # five standard errors of the signature's estimate around the threshold
 MARGIN = 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 CROWD = 8  # members of a bucket up to which all of its pairs are compared at once
-PART = 1000  # members of a class in a bucket that are held together
+PART = 1000  # members of a bucket that meet others in one task
+SLOTS = 1 << 20  # counters that order the shingles from rare to common
+COUNTED = 8  # one text in so many is counted for that order, which decides no pair
 DYADIC = 12  # rank bands below 1: [0, 2^-12), [2^-12, 2^-11) ... [1/2, 1); then unit bands
 
 
@@ -150,6 +153,26 @@ def bucket_links(shared: DataFrame) -> DataFrame:
     return shared.select(ends.alias("e")).select("e.a", "e.b").where("a > b").distinct()
 
 
+def _side(rows: DataFrame, c: str, *more: Column) -> DataFrame:
+    """Members of buckets as one side of a join, the document named `c`."""
+    placed = [F.col(x).alias(f"{x}_{c}") for x in ("rest", "half") if x in rows.columns]
+    return rows.select("key", F.col("doc_id").alias(c), F.col("class").alias(f"c{c}"), *placed, *more)
+
+
+def _may_link(rows: DataFrame) -> Column:
+    """Whether a > b that meet in a bucket are of different classes and, where the rows have
+    places, can be similar at all.
+
+    All texts order their shingles alike.  In the bucket of the first one that a pair shares,
+    all it shares lies in the `rest` of both, which so holds the sum of their `half`s if the
+    pair is similar.
+    """
+    differ = F.expr("a > b AND ca <> cb")
+    if "rest" not in rows.columns:
+        return differ
+    return differ & (F.least("rest_a", "rest_b") >= F.col("half_a") + F.col("half_b") - 1e-9)
+
+
 def meeting_pairs(rows: DataFrame, crowd: int = CROWD, salt: int = 0) -> DataFrame:
     """Distinct (a, b), a > b, of different classes that meet in a bucket, from rows
     (key, doc_id, class, n) with n members in the row's bucket.
@@ -159,9 +182,9 @@ def meeting_pairs(rows: DataFrame, crowd: int = CROWD, salt: int = 0) -> DataFra
     central one of a family, and the least and the largest by a hash of the document.  No
     choice depends on the key, so the buckets of a family name the same few pivots.
     """
-    side = lambda c: rows.where(F.col("n") <= crowd).select(
-        "key", F.col("doc_id").alias(c), F.col("class").alias(f"c{c}"))
-    small = side("a").join(side("b"), "key").where("a > b AND ca <> cb").select("a", "b").distinct()
+    few = rows.where(F.col("n") <= crowd)
+    small = _side(few, "a").join(_side(few, "b"), "key").where(_may_link(rows)).select(
+        "a", "b").distinct()
     large = rows.where(F.col("n") > crowd)
     weight = large.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     drawn = F.xxhash64("doc_id", F.lit(salt))
@@ -179,29 +202,27 @@ def meeting_pairs(rows: DataFrame, crowd: int = CROWD, salt: int = 0) -> DataFra
 
 
 def remaining_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b), a > b, of ALL members of different classes that meet in a bucket,
-    from rows (key, doc_id, class, n): the exact way for crowded buckets, once pivots find
-    no more.
+    """Distinct (a, b), a > b, of ALL members of different classes that meet in a bucket and
+    that their places do not rule out, from rows (key, doc_id, class, n): the exact way for
+    crowded buckets, once pivots find no more.
 
-    Members of a bucket are held by class, in parts of about PART, and parts of different
-    classes meet; so a class of near copies costs no pairs of its own.
+    Members are dealt to parts of about PART.  Each two parts meet under a key of their own,
+    so the pairs of a large bucket are spread over tasks.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / PART))
-    held = rows.groupBy("key", "class", part.alias("part")).agg(F.collect_list("doc_id").alias("docs"))
-    side = lambda c: held.select("key", F.col("class").alias(f"c{c}"), F.col("docs").alias(c))
-    met = side("x").join(side("y"), "key").where("cx < cy")
-    each = met.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    return each.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    parts = F.ceil(F.col("n") / PART)
+    own, every = F.pmod(F.xxhash64("doc_id"), parts), F.sequence(F.lit(0).cast("bigint"), parts - 1)
+    a = _side(rows, "a", own.alias("i"), F.explode(every).alias("j"))
+    b = _side(rows, "b", F.explode(every).alias("i"), own.alias("j"))
+    return a.join(b, ["key", "i", "j"]).where(_may_link(rows)).select("a", "b").distinct()
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """The rows (key, doc_id, class) of buckets that hold several classes, with their
+    """The rows (key, doc_id, class, ...) of buckets that hold several classes, with their
     number `n` of members.  Written."""
     several = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")
     ).where("lo < hi").select("key", "n")
-    return materialize(rows.join(several, "key").select("key", "doc_id", "class", "n"),
-                       "mixed-buckets")
+    return materialize(rows.join(several, "key").select(*rows.columns, "n"), "mixed-buckets")
 
 
 def open_buckets(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -218,44 +239,74 @@ def open_pairs(shared: DataFrame, label: DataFrame) -> DataFrame:
     return meeting_pairs(open_buckets(shared, label))
 
 
-def content_buckets(crowded: DataFrame, docs: DataFrame,
-                    similarity: float = SIMILARITY) -> DataFrame:
-    """Buckets (key, doc_id, class, n) of the shingles, counted by copy, of the documents
-    (doc_id, class): members of one bucket share that shingle at least so many times.
+def _counted_shingles(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per block the keys of all shingles, each with the number of its copy, and the offsets
+    of the documents; keys of a document stand together."""
+    for block in blocks(column):
+        hashes, cuts, _ = shingles(block)
+        of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        hashes = hashes[np.lexsort((hashes, of))]
+        first = np.ones(len(of), bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+        start = np.flatnonzero(first)
+        copy = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
+        with np.errstate(over="ignore"):
+            yield mix(hashes + copy.astype(U) * U(0xA0761D6478BD642F)), np.asarray(cuts)
 
-    A document of m shingles takes the buckets of its m - ceil(similarity m) + 1 least
-    hashes: two texts of that similarity share more than what both could leave out, so
-    they meet in at least one of them.
+
+def shingle_counts(crowded: DataFrame, docs: DataFrame) -> np.ndarray:
+    """How common shingles are in the documents `crowded`: SLOTS counters, by hash, from one
+    text in COUNTED.  Any counters give an order that is right; good ones put the rare first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for keys, _ in _counted_shingles(batch.column("text")):
+                held += np.bincount((keys & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(held[slot])], ["slot", "n"])
+
+    some = crowded.select("doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0)
+    found = docs.select("doc_id", "text").join(some, "doc_id").select("text").mapInArrow(
+        run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int32)
+    out[found["slot"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**31 - 1)
+    return out
+
+
+def content_buckets(crowded: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
+                    counts: np.ndarray | None = None) -> DataFrame:
+    """Buckets (key, doc_id, class, rest, half, n) of the shingles, counted by copy, of the
+    documents (doc_id, class): members of one bucket share that shingle at least so many times.
+
+    A document of m shingles takes the buckets of its first m - ceil(similarity m) + 1, from
+    rare to common: two texts of that similarity share more than what both could leave out,
+    so they meet in at least one of them.  `rest` is the number of its shingles from this one
+    on, `half` its share in the number that a similar pair has in common.
     """
+    counts = shingle_counts(crowded, docs) if counts is None else counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, kinds = (batch.column(c).to_numpy() for c in ("doc_id", "class"))
             at = 0
-            for block in blocks(batch.column("text")):
-                hashes, cuts, _ = shingles(block)
-                of = np.repeat(np.arange(at, at + len(cuts) - 1), np.diff(cuts))
-                at += len(cuts) - 1
-                order = np.lexsort((hashes, of))
-                hashes, of = hashes[order], of[order]
-                first = np.ones(len(of), bool)
-                first[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-                start = np.flatnonzero(first)
-                copy = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
-                with np.errstate(over="ignore"):
-                    keys = mix(hashes + copy.astype(U) * U(0xA0761D6478BD642F))
-                order = np.lexsort((keys, of))
+            for keys, cuts in _counted_shingles(batch.column("text")):
                 m = np.diff(cuts)
+                of = np.repeat(np.arange(len(m)), m)
+                order = np.lexsort((keys, counts[(keys & U(SLOTS - 1)).astype(np.int64)], of))
+                rank = np.arange(len(of)) - np.repeat(cuts[:-1], m)
                 taken = (m - np.ceil(similarity * m - 1e-9) + 1).astype(np.int64)
-                rank = np.arange(len(of)) - np.repeat(np.asarray(cuts[:-1]) - cuts[0], m)
-                order = order[rank < np.repeat(taken, m)]
-                keys, of = keys[order], of[order]
+                kept = np.flatnonzero(rank < taken[of])
+                keys, of, rest = keys[order[kept]], of[kept], (m[of] - rank)[kept]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(ids[of]), pa.array(kinds[of])],
-                    ["key", "doc_id", "class"])
+                    [pa.array(keys.view(np.int64)), pa.array(ids[at + of]), pa.array(kinds[at + of]),
+                     pa.array(rest.astype(np.int32)), pa.array(m[of] * (similarity / (1 + similarity)))],
+                    ["key", "doc_id", "class", "rest", "half"])
+                at += len(m)
 
     texts = docs.select("doc_id", "text").join(crowded, "doc_id")
-    return mixed(texts.mapInArrow(run, "key bigint, doc_id bigint, class bigint"))
+    return mixed(texts.mapInArrow(
+        run, "key bigint, doc_id bigint, class bigint, rest int, half double"))
 
 
 def further_links(shared: DataFrame, known: DataFrame, worded: DataFrame, docs: DataFrame,
@@ -271,7 +322,7 @@ def further_links(shared: DataFrame, known: DataFrame, worded: DataFrame, docs:
     every pair of different classes that still shares a shingle bucket, so that no link
     depends on the choice of pivots.  No pair is compared twice.
     """
-    links, tried, salt = known, None, 0
+    links, tried, salt, counts = known, None, 0, None
     untried = lambda pairs: pairs if tried is None else pairs.join(
         tried, ["a", "b"], "left_anti")
     while True:
@@ -279,7 +330,8 @@ def further_links(shared: DataFrame, known: DataFrame, worded: DataFrame, docs:
         rows = open_buckets(shared, label)
         crowded = materialize(
             rows.where(F.col("n") > CROWD).select("doc_id", "class").distinct(), "crowded")
-        content = content_buckets(crowded, docs, similarity)
+        counts = shingle_counts(crowded, docs) if counts is None else counts
+        content = content_buckets(crowded, docs, similarity, counts)
         pairs = materialize(untried(meeting_pairs(rows, salt=salt).unionByName(
             meeting_pairs(content, salt=salt)).distinct()), "further-pairs")
         found = linked(pairs, worded, docs, similarity, margin)

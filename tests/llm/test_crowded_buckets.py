@@ -45,3 +45,45 @@ def test_remaining_pairs_are_all_pairs_between_classes(spark, monkeypatch):
     got = [tuple(r) for r in darts.remaining_pairs(rows).collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(a, b) for ds in buckets.values() for a in ds for b in ds if a > b and of(a) != of(b)}
+
+
+def _content(spark, texts, counts=None):
+    docs = spark.createDataFrame(_rows(texts), "doc_id bigint, text string")
+    own = spark.createDataFrame([(i, i) for i in range(len(texts))], "doc_id bigint, class bigint")
+    return darts.content_buckets(own, docs, counts=counts)
+
+
+def _similar(texts):
+    of = lambda w: np.array([hash(tuple(w[i:i + 5])) for i in range(len(w) - 4)])
+    found = [of(w) for w in texts]
+    return {(a, b) for a in range(len(texts)) for b in range(a)
+            if darts.weighted_jaccard(found[a], found[b]) >= darts.SIMILARITY}
+
+
+def test_a_common_passage_alone_makes_no_pairs(spark):
+    """200 texts that share 120 of their 300 words and nothing else: all pairs are 19900."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{x}" for x in range(120)]
+    texts = [passage + [f"w{x}" for x in rng.integers(0, 50_000, 180)] for _ in range(200)]
+    texts.append([*texts[7][:-3], "x1", "x2", "x3"])
+    content = _content(spark, texts)
+    assert {tuple(r) for r in darts.remaining_pairs(content).collect()} == {(200, 7)} == _similar(texts)
+
+
+def test_no_order_of_shingles_loses_a_similar_pair(spark):
+    """Texts of several lengths with repeats, cut and edited; good, bad and no counters."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for n in (30, 60, 200, 400):
+        base = [f"w{x}" for x in rng.integers(0, 40, n)] + ["again"] * 12
+        for _ in range(12):
+            own = base[:len(base) - int(rng.integers(0, n // 6))]
+            for at in rng.choice(len(own), int(rng.integers(0, 3 + n // 60)), replace=False):
+                own[at] = f"v{rng.integers(0, 9)}"
+            texts.append(own)
+    want = _similar(texts)
+    assert 50 < len(want) < 1000
+    drawn = rng.integers(0, 50, darts.SLOTS).astype(np.int32)
+    for counts in (None, np.zeros(darts.SLOTS, np.int32), drawn):
+        got = {tuple(r) for r in darts.remaining_pairs(_content(spark, texts, counts)).collect()}
+        assert want <= got
