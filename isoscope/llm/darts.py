@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isoscope.llm.arrays import U, blocks, mix, shingles, window_hashes
@@ -186,9 +186,9 @@ def meeting_pairs(rows: DataFrame, crowd: int = CROWD, salt: int = 0) -> DataFra
     small = _side(few, "a").join(_side(few, "b"), "key").where(_may_link(rows)).select(
         "a", "b").distinct()
     large = rows.where(F.col("n") > crowd)
-    weight = large.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weight = F.sum("n").over(Window.partitionBy("doc_id"))
     drawn = F.xxhash64("doc_id", F.lit(salt))
-    pivots = large.join(weight, "doc_id").groupBy("key").agg(
+    pivots = large.withColumn("weight", weight).groupBy("key").agg(
         F.max(F.struct("weight", "doc_id", "class")).alias("centre"),
         F.min(F.struct(drawn, "doc_id", "class")).alias("least"),
         F.max(F.struct(drawn, "doc_id", "class")).alias("most"),
