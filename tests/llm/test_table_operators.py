@@ -302,6 +302,60 @@ def test_near_passages_and_cutting(spark):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def near_windows(rows):
+    """(document, start, has an earlier one) of the windows of 46 shingles that share 41, the
+    first and the last among them, with a window of another document."""
+    shingled = {i: [tuple(t[a:a + 5]) for a in range(len(t) - 4)] for i, t in rows}
+    for i, own in shingled.items():
+        for j, other in shingled.items():
+            held = set(other)
+            shared = np.array([s in held for s in own])
+            for a in range(len(own) - 45):
+                if i != j and shared[a] and shared[a + 45] and shared[a:a + 46].sum() >= 41:
+                    part = set(own[a:a + 46])
+                    if any(sum(s in part for s in other[b:b + 46]) >= 41 for b in range(len(other) - 45)):
+                        yield i, a, j < i
+
+
+def test_near_passages_in_families_of_variants(spark):
+    rng = np.random.default_rng(1)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10_000, n)]
+    template, rows = word(50), []
+    for i in range(60):  # pairs alike; each far below 0.8 of the other pairs
+        variant = list(template)
+        for at in (7 + i // 2 % 5 * 2, 25 + i // 2 % 7, 40 + i // 2 % 3):
+            variant[at] = f"x{i // 2}y{at}"
+        if i % 2:
+            variant[20 + i // 2 % 4] = f"z{i}"
+        rows.append((i, word(20) + variant + word(20)))
+    want = list(near_windows(rows))
+    assert {i for i, _, _ in want} == set(range(60))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    for dealt in (docs.coalesce(1), docs.repartitionByRange(8, F.col("doc_id").desc())):
+        result = passages.repeated_passages(dealt).collect()
+        got, repeated = covered(result), covered(r for r in result if r["repeated"])
+        for i, a, earlier in want:
+            assert (repeated if earlier else got)[i] >= set(range(a, a + 50)), (i, a)
+
+
+def test_windows_that_share_enough_share_a_least_shingle():
+    rng = np.random.default_rng(4)
+    classes = rng.integers(0, 4, passages.SLOTS).astype(np.uint8)
+    for _ in range(200):
+        own, other = (rng.integers(0, 2**63, 60 + rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        a, b = rng.integers(0, len(own) - 45), rng.integers(0, len(other) - 45)
+        window = own[a:a + 46].copy()
+        window[rng.choice(46, 5, replace=False)] = rng.integers(0, 2**63, 5).astype(np.uint64)
+        other[b:b + 46] = rng.permutation(window)
+        found = []
+        for hashes, start in ((own, a), (other, b)):
+            at, first, last = passages.least_shingles(hashes, np.array([0, len(hashes)]), classes)
+            assert (first <= at).all() and (at <= last + 45).all() and (last <= len(hashes) - 46).all()
+            inside = (at >= start) & (at < start + 46) & (first <= start) & (last >= start)
+            found.append(set(hashes[at[inside]].tolist()))
+        assert found[0] & found[1]
+
+
 def test_compact_windows_by_definition():
     rng = np.random.default_rng(2)
     order = rng.integers(0, 50, 120).astype(np.uint64) << np.uint64(40)
