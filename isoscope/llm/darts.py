@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from isoscope.llm.arrays import U, blocks, mix, shingles, window_hashes
 from isoscope.llm.graphs import components
+from isoscope.llm.packed import slot_counts
 from isoscope.plans.lineage import discard, materialize
 
 BANDS, ROWS = 48, 8
@@ -39,7 +40,6 @@ MARGIN = 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 CROWD = 8  # members of a bucket up to which all of its pairs are compared at once
 PART = 1000  # members of a bucket that meet others in one task
 SLOTS = 1 << 20  # counters that order the shingles from rare to common
-COUNTED = 8  # one text in so many is counted for that order, which decides no pair
 DYADIC = 12  # rank bands below 1: [0, 2^-12), [2^-12, 2^-11) ... [1/2, 1); then unit bands
 
 
@@ -255,23 +255,10 @@ def _counted_shingles(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def shingle_counts(crowded: DataFrame, docs: DataFrame) -> np.ndarray:
-    """How common shingles are in the documents `crowded`: SLOTS counters, by hash, from one
-    text in COUNTED.  Any counters give an order that is right; good ones put the rare first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for keys, _ in _counted_shingles(batch.column("text")):
-                held += np.bincount((keys & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        slot = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(held[slot])], ["slot", "n"])
-
-    some = crowded.select("doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(COUNTED)) == 0)
-    found = docs.select("doc_id", "text").join(some, "doc_id").select("text").mapInArrow(
-        run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SLOTS, np.int32)
-    out[found["slot"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**31 - 1)
-    return out
+    """How common shingles are in all the documents `crowded`: SLOTS counters, by hash.  Any
+    counters give an order that is right; good ones put the rare first."""
+    texts = docs.select("doc_id", "text").join(crowded.select("doc_id"), "doc_id").select("text")
+    return slot_counts(texts, lambda column: (keys for keys, _ in _counted_shingles(column)), SLOTS)
 
 
 def content_buckets(crowded: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
